@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,14 +112,20 @@ def contains_any(text: ColumnOrName, terms: Sequence[str]) -> Column:
     return _col(text).rlike("|".join(re.escape(t) for t in terms))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, for expressions that mention it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chunks(tokens: ColumnOrName, size: ColumnOrName | int) -> Column:
     """Consecutive groups of ``size`` tokens joined by a space; the last may be shorter."""
-    tokens = _col(tokens)
     size = F.lit(size) if isinstance(size, int) else _col(size)
-    starts = F.sequence(F.lit(1), F.size(tokens), size)
-    return F.when(F.size(tokens) > 0, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)), size)
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " "))
+
+    return F.filter(bind(_col(tokens), cut), lambda c: c != "")
 
 
 def common_subsequence_length(a: ColumnOrName, b: ColumnOrName) -> Column:

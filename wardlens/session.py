@@ -57,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
