@@ -14,13 +14,17 @@ from wardlens.functions import scalars as S
 
 
 def token_counts(
-    df: DataFrame, key: str, tokens: Column, stop_words: Sequence[str] = lexicon.ENGLISH_STOP_WORDS
+    df: DataFrame,
+    keys: str | Sequence[str],
+    tokens: Column,
+    stop_words: Sequence[str] = lexicon.ENGLISH_STOP_WORDS,
 ) -> DataFrame:
-    """(key, token, tf). The tokens of a text are counted before they leave its task."""
-    exploded = df.select(key, F.explode(tokens).alias("token"))
+    """(keys, token, tf). The tokens of a text are counted before they leave its task."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    exploded = df.select(*keys, F.explode(tokens).alias("token"))
     if stop_words:
         exploded = exploded.filter(~F.col("token").isin(list(stop_words)))
-    return exploded.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_count(df: DataFrame, key: str) -> Column:
@@ -125,10 +129,9 @@ def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFra
     The table is a curated list; it is read once into a scalar subquery.
     """
     listed = terms.agg(F.array_sort(F.collect_set("term"))).scalar()
-    hits = F.transform(
-        listed, lambda t: F.struct(t.alias("term"), F.size(F.regexp_extract_all(F.col(text), t, F.lit(0))).alias("value"))
-    )
-    return df.select(key, F.inline(hits)).filter(F.col("value") > 0)
+    hits = F.size(F.regexp_extract_all(F.col(text), F.col("term"), F.lit(0)))
+    paired = df.select(key, text, listed.alias("terms")).select(key, text, F.explode("terms").alias("term"))
+    return paired.select(key, "term", hits.alias("value")).filter(F.col("value") > 0)
 
 
 def fuzzy_chunks(text: Column | str, size: Column | int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,9 @@ def hot_keys(counted: DataFrame, keys: list[str], limit: int) -> DataFrame | Non
     if len(rows) <= HOT_KEYS_ON_DRIVER:
         return counted.sparkSession.createDataFrame(rows, schema=over.schema)
     return over
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name for files that several executors read, under the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
