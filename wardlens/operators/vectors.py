@@ -165,7 +165,7 @@ def pack_vectors(triples: DataFrame, documents: DataFrame, key: str, width: int)
     A row holds at most ``width`` entries. Documents without a stored feature get an empty vector.
     """
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def to_sparse(indices: list[int] | None, values: list[float] | None) -> SparseVector:
         return Vectors.sparse(width, indices or [], values or [])
 
