@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from wardlens.functions import scalars as S
 from wardlens.models import boosted, linear, topics
@@ -16,6 +15,7 @@ from wardlens.operators import dataset as D
 from wardlens.operators import evaluate as E
 from wardlens.operators import features as V
 from wardlens.operators import vectors as W
+from wardlens.session import materialize
 
 METRICS = ["boosted_accuracy", "boosted_auc", "boosted_f1", "svm_accuracy", "svm_auc", "svm_f1"]
 
@@ -48,7 +48,7 @@ SWEEP = [
 
 @dataclass(frozen=True)
 class Matrix:
-    """Scaled feature vectors with labels and splits, and the feature names."""
+    """Scaled feature vectors with labels and splits as a written table, and the feature names."""
 
     rows: DataFrame
     names: list[str]
@@ -64,13 +64,14 @@ def build_matrix(
     comes to the driver once: it names the features and goes back as a literal table.
     """
     spark = docs.sparkSession
+    docs = materialize(docs.select(key, "text", "label", "split"), "documents")
     fit_docs = D.fit_rows(docs, config.fit_splits)
     tokens = S.vector_tokens("text")
     counts = V.token_counts(docs, [key, "split"], tokens)
     fitted = V.tfidf_fit(D.fit_rows(counts, config.fit_splits), V.document_count(fit_docs, key), config.max_features)
-    rows = fitted.collect()
-    vocab = spark.createDataFrame(rows, fitted.schema)
-    words = [r["token"] for r in sorted(rows, key=lambda r: r["idx"])]
+    entries = fitted.collect()
+    vocab = spark.createDataFrame(entries, fitted.schema)
+    words = [r["token"] for r in sorted(entries, key=lambda r: r["idx"])]
     blocks = [W.Block(words, V.tfidf_transform(counts, vocab, key).select(key, "idx", "value"))]
 
     index = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
@@ -86,9 +87,12 @@ def build_matrix(
         blocks.append(W.vector_block(averaged, key, d, "w2v_"))
 
     triples, names = W.combine_blocks(blocks, key)
+    # read twice below: for the ranges of the features and for the scaled values
+    triples = materialize(triples, "triples")
     labels = docs.select(key, "label", "split")
     scaled = W.min_max(triples, labels, key, config.scale, len(names))
-    return Matrix(W.pack_vectors(scaled, labels, key, len(names)), names, model)
+    rows = materialize(W.pack_vectors(scaled, labels, key, len(names)), "matrix")
+    return Matrix(rows, names, model)
 
 
 def run_experiment(
@@ -96,7 +100,7 @@ def run_experiment(
 ) -> dict[str, float]:
     """Fit both classifiers on the training split and return their metrics on the test split."""
     matrix = build_matrix(docs, terms, config, vectors, d, key)
-    rows = matrix.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = matrix.rows
     train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
 
     trees = boosted.fit_boosted(train, val, config.eta, config.patience, config.rounds)
@@ -105,7 +109,6 @@ def run_experiment(
 
     grid = linear.fit_svm_grid(train, key, config.alphas, max_iter=config.svm_iterations)
     svm_scores = E.scores(grid.model.transform(test), "label", "prediction").first()
-    rows.unpersist()
     return {
         "boosted_accuracy": tree_scores["accuracy"],
         "boosted_auc": tree_scores["auc_hard"],
@@ -120,13 +123,12 @@ def sweep(
     docs: DataFrame, terms: Sequence[str], configs: Sequence[Config] = SWEEP, vectors: DataFrame | None = None, d: int = 100,
     key: str = "doc_id",
 ) -> DataFrame:
-    """One row of metrics per configuration. The cleaned documents are cached for all runs."""
-    cached = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    """One row of metrics per configuration. The documents are cleaned once for all runs."""
+    cleaned = materialize(docs.select(key, "text", "label", "split"), "documents")
     rows = []
     for i, config in enumerate(configs):
-        metrics = run_experiment(cached, terms, config, vectors, d, key)
+        metrics = run_experiment(cleaned, terms, config, vectors, d, key)
         rows.append((i, config.max_features, config.topics, config.eta, config.patience, *[float(metrics[m]) for m in METRICS]))
-    cached.unpersist()
     columns = ", ".join(f"{m} double" for m in METRICS)
     return docs.sparkSession.createDataFrame(
         rows, f"config int, max_features int, topics int, eta double, patience int, {columns}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.ml.classification import LinearSVCModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,36 +21,57 @@ from wardlens.operators import text as TX
 from wardlens.operators import vectors as W
 from wardlens.plans import corpus as K
 from wardlens.plans.registry import query
-from wardlens.session import scratch_path
+from wardlens.session import materialize, scratch_path
 from wardlens.sources import files
 
-CONFIG = X.Config(max_features=300, topics=5, rounds=20, topic_passes=4, topic_batches=5, svm_iterations=20)
+T_ = TypeVar("T_")
+
+CONFIG = X.Config(max_features=300, topics=5, rounds=10, topic_passes=2, topic_batches=5, svm_iterations=10)
+SHORT_GRID = (0.00001, 0.0001, 0.001, 0.01)
 SMALL_SWEEP = [
-    X.Config(max_features=200, topics=3, eta=0.1, patience=3, rounds=8, topic_passes=2, topic_batches=5,
-             alphas=(0.0001, 0.001, 0.01), svm_iterations=10),
-    X.Config(max_features=300, topics=5, eta=0.3, patience=5, rounds=8, topic_passes=2, topic_batches=5,
-             alphas=(0.0001, 0.001, 0.01), svm_iterations=10),
+    X.Config(max_features=200, topics=3, eta=0.1, patience=3, rounds=5, topic_passes=1, topic_batches=5,
+             alphas=(0.0001, 0.01), svm_iterations=10),
+    X.Config(max_features=300, topics=5, eta=0.3, patience=5, rounds=5, topic_passes=1, topic_batches=5,
+             alphas=(0.0001, 0.01), svm_iterations=10),
 ]
 
+# Written tables and fitted models that several queries of one session read.
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], T_]) -> T_:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text, label, split) of the labelled documents."""
-    docs = K.labelled_documents(spark, sf).withColumn("text", TX.clean_tokens(F.col("text")))
-    return D.split_dataset(docs, "doc_id")
+
+    def build() -> DataFrame:
+        docs = K.labelled_documents(spark, sf).withColumn("text", TX.clean_tokens(F.col("text")))
+        return materialize(D.split_dataset(docs, "doc_id"), "cleaned")
+
+    return shared(spark, sf, "cleaned", build)
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The word vectors as one written table."""
+    return shared(
+        spark, sf, "vectors", lambda: materialize(W.combine_vectors(*K.word_vectors(spark, sf)), "word-vectors")
+    )
 
 
 def matrix(spark: SparkSession, sf: str) -> X.Matrix:
-    vectors = W.combine_vectors(*K.word_vectors(spark, sf))
-    return X.build_matrix(cleaned(spark, sf), K.TERMS, CONFIG, vectors, K.VECTOR_WIDTH)
+    return shared(
+        spark, sf, "matrix",
+        lambda: X.build_matrix(cleaned(spark, sf), K.TERMS, CONFIG, vectors(spark, sf), K.VECTOR_WIDTH),
+    )
 
 
 def topic_model(spark: SparkSession, sf: str) -> topics.TopicModel:
-    fit_docs = D.fit_rows(cleaned(spark, sf))
-    counts = V.token_counts(fit_docs, "doc_id", S.vector_tokens("text"))
-    words = [r["token"] for r in V.top_vocab(counts, CONFIG.max_features).orderBy("idx").collect()]
-    return topics.fit_topics(
-        fit_docs, S.vector_tokens("text"), words, CONFIG.topics, CONFIG.topic_passes, CONFIG.topic_batches
-    )
+    return matrix(spark, sf).topic_model
 
 
 @query("topic_words", "M1 M2 L6")
@@ -80,9 +104,12 @@ def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _boosted(spark: SparkSession, sf: str) -> tuple[boosted.BoostedModel, DataFrame, list[str]]:
     built = matrix(spark, sf)
-    rows = built.rows.persist()
+    rows = built.rows
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
-    return boosted.fit_boosted(train, val, CONFIG.eta, CONFIG.patience, CONFIG.rounds), rows, built.names
+    fitted = shared(
+        spark, sf, "boosted", lambda: boosted.fit_boosted(train, val, CONFIG.eta, CONFIG.patience, CONFIG.rounds)
+    )
+    return fitted, rows, built.names
 
 
 @query("boosted_tree_scores", "M3 E1")
@@ -113,15 +140,15 @@ def top_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query("svm_grid", "M5")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = matrix(spark, sf).rows
-    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", max_iter=CONFIG.svm_iterations)
+    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", SHORT_GRID, max_iter=CONFIG.svm_iterations)
     return spark.createDataFrame(grid.accuracies, "alpha double, accuracy double")
 
 
 @query("saved_svm_predictions", "S11 M5 E7")
 def saved_svm_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The best model of a short grid, saved, loaded and applied."""
-    rows = matrix(spark, sf).rows.persist()
-    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", (0.0001, 0.001, 0.01), max_iter=20)
+    rows = matrix(spark, sf).rows
+    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", (0.0001, 0.01), folds=2, max_iter=CONFIG.svm_iterations)
     path = scratch_path(spark, "svm-model")
     files.save_model(grid.model, path)
     scored = LinearSVCModel.load(path).transform(rows)
@@ -136,16 +163,16 @@ def adaboost_grid(spark: SparkSession, sf: str) -> DataFrame:
     weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), CONFIG.max_features, "doc_id")
     rows = W.pack_vectors(weights, docs.select("doc_id", "label", "split"), "doc_id", CONFIG.max_features)
     kept = D.fit_rows(rows).select("doc_id", "label", "features")
-    _, table = adaboost.fit_adaboost_grid(kept, "doc_id", (2, 4), (5,), (2, 5), (0.1,), folds=3)
+    _, table = adaboost.fit_adaboost_grid(kept, "doc_id", (2, 4), (5,), (1, 3), (0.1,), folds=2)
     return table
 
 
 @query("mlp_head_predictions", "M7")
 def mlp_head_predictions(spark: SparkSession, sf: str) -> DataFrame:
     docs = cleaned(spark, sf)
-    vectors = W.combine_vectors(*K.word_vectors(spark, sf))
-    averaged = W.average_embedding(docs, "doc_id", "text", vectors, K.VECTOR_WIDTH, mode="tokens")
-    rows = docs.select("doc_id", "label", "split").join(averaged, "doc_id").persist()
+    averaged = W.average_embedding(docs, "doc_id", "text", vectors(spark, sf), K.VECTOR_WIDTH, mode="tokens")
+    rows = docs.select("doc_id", "label", "split").join(averaged, "doc_id")
+    rows = materialize(rows, "document-vectors")
     model = head.fit_mlp_head(rows.filter(F.col("split") == "train"), "vec", K.VECTOR_WIDTH)
     scored = head.predict_mlp_head(model, rows, "vec")
     return scored.select("doc_id", "split", "label", "prediction", vector_to_array("probability")[1].alias("score"))
@@ -154,17 +181,15 @@ def mlp_head_predictions(spark: SparkSession, sf: str) -> DataFrame:
 @query("document_vectors_through_parquet", "S8 V12")
 def document_vectors_through_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """Averaged vectors written once and read back as a feature block."""
-    vectors = W.combine_vectors(*K.word_vectors(spark, sf))
     path = scratch_path(spark, "doc-vectors")
-    files.write_parquet(W.average_embedding(cleaned(spark, sf), "doc_id", "text", vectors, K.VECTOR_WIDTH), path)
+    files.write_parquet(W.average_embedding(cleaned(spark, sf), "doc_id", "text", vectors(spark, sf), K.VECTOR_WIDTH), path)
     block = W.vector_block(files.load_doc_vectors(spark, path), "doc_id", K.VECTOR_WIDTH, "w2v_")
     return block.triples.withColumn("value", F.round("value", 6))
 
 
 @query("experiment_metrics", "M10")
 def experiment_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = W.combine_vectors(*K.word_vectors(spark, sf))
-    metrics = X.run_experiment(cleaned(spark, sf), K.TERMS, SMALL_SWEEP[1], vectors, K.VECTOR_WIDTH)
+    metrics = X.run_experiment(cleaned(spark, sf), K.TERMS, SMALL_SWEEP[1], vectors(spark, sf), K.VECTOR_WIDTH)
     return spark.createDataFrame([(name, float(value)) for name, value in metrics.items()], "metric string, value double")
 
 

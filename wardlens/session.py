@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where the split costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a union that claims its children's partitioning breaks joins over cached blocks re-planned at run time
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 # Keys held by more rows than this are handled apart; at most this many are ever looked up on the driver.
@@ -93,3 +95,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name for files that several executors read, under the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several jobs read, and go on from the written table.
+
+    The plan behind it is then run once and not analysed again by every job of an iterative fit, and a lost
+    executor costs a read of the table instead of a new run of the plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
