@@ -60,23 +60,18 @@ def build_matrix(
 ) -> Matrix:
     """Word weights, term hits, topic weights and averaged word vectors, scaled, as one vector per document.
 
-    ``docs`` has (key, text, label, split) with cleaned text. The vocabulary, at most ``max_features`` words,
-    comes to the driver once: it names the features and goes back as a literal table.
+    ``docs`` has (key, text, label, split) with cleaned text.
     """
-    spark = docs.sparkSession
     docs = materialize(docs.select(key, "text", "label", "split"), "documents")
     fit_docs = D.fit_rows(docs, config.fit_splits)
     tokens = S.vector_tokens("text")
     counts = V.token_counts(docs, [key, "split"], tokens)
-    fitted = V.tfidf_fit(D.fit_rows(counts, config.fit_splits), V.document_count(fit_docs, key), config.max_features)
-    entries = fitted.collect()
-    vocab = spark.createDataFrame(entries, fitted.schema)
-    words = [r["token"] for r in sorted(entries, key=lambda r: r["idx"])]
-    blocks = [W.Block(words, V.tfidf_transform(counts, vocab, key).select(key, "idx", "value"))]
-
-    index = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
-    hits = V.hotspot_counts(docs, key, "text", terms).select(key, index[F.col("term")].alias("idx"), "value")
-    blocks.append(W.Block([f"HP_{t}" for t in terms], hits))
+    fit_counts = D.fit_rows(counts, config.fit_splits)
+    blocks = [
+        W.word_block(docs, fit_docs, counts, fit_counts, key, config.max_features),
+        W.term_block(docs, key, "text", terms),
+    ]
+    words = blocks[0].names
 
     model = topics.fit_topics(
         fit_docs, tokens, words, config.topics, config.topic_passes, config.topic_batches

@@ -134,11 +134,10 @@ def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFra
     return paired.select(key, "term", hits.alias("value")).filter(F.col("value") > 0)
 
 
-def fuzzy_chunks(text: Column | str, size: Column | int) -> Column:
-    """Chunks of ``size`` words after everything but letters, digits, brackets and whitespace is removed."""
+def fuzzy_words(text: Column | str) -> Column:
+    """Words after everything but letters, digits, brackets and whitespace is removed."""
     text = F.col(text) if isinstance(text, str) else text
-    bare = F.regexp_replace(text, f"[^A-Za-z0-9(){lexicon.SPACE_CLASS}]+", "")
-    return S.chunks(S.words(bare), size)
+    return S.words(F.regexp_replace(text, f"[^A-Za-z0-9(){lexicon.SPACE_CLASS}]+", ""))
 
 
 def hotspot_fuzzy(df: DataFrame, key: str, text: str, terms: Sequence[str], min_ratio: int = 95) -> DataFrame:
@@ -156,13 +155,22 @@ def hotspot_fuzzy(df: DataFrame, key: str, text: str, terms: Sequence[str], min_
             if 200 * min(length, other) >= (min_ratio - 0.5) * (length + other):
                 rows.append((term, n_words, other, int(slack * (length + other) + 1e-9)))
     table = spark.createDataFrame(rows, "term string, n_words int, chunk_length int, most_edits int")
-    sizes = F.array(*[F.lit(n) for n in sorted({r[1] for r in rows})])
+    by_size: dict[int, set[int]] = {}
+    for _, n_words, chunk_length, _ in rows:
+        by_size.setdefault(n_words, set()).add(chunk_length)
+    sizes = F.array(*[F.lit(n) for n in sorted(by_size)])
+    possible = F.lit(False)
+    for n_words, lengths in by_size.items():
+        possible = possible | ((F.col("n_words") == n_words) & F.col("chunk_length").isin(sorted(lengths)))
+    pieces = F.when(F.col("n_words") == 1, F.col("words")).otherwise(S.chunks("words", F.col("n_words")))
     chunked = (
-        df.select(key, text, F.explode(sizes).alias("n_words"))
-        .select(key, "n_words", F.explode(fuzzy_chunks(text, F.col("n_words"))).alias("chunk"))
-        .groupBy(key, "n_words", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(key, fuzzy_words(text).alias("words"))
+        .select(key, "words", F.explode(sizes).alias("n_words"))
+        .select(key, "n_words", F.explode(pieces).alias("chunk"))
         .withColumn("chunk_length", F.length("chunk"))
+        .filter(possible)
+        .groupBy(key, "n_words", "chunk", "chunk_length")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     near = chunked.join(table, ["n_words", "chunk_length"]).filter(
         F.expr("levenshtein(chunk, term, most_edits) >= 0")

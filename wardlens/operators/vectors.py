@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions import scalars as S
+from wardlens.operators import features as V
 from wardlens.operators.text import lookup_tokens, token_positions
 
 # Rows of the padded matrix that the mean runs over.
@@ -78,26 +81,29 @@ def average_embedding(
     ``max_len`` the longest document unless given. ``mode='tokens'``: the document's own tokens up to the cap.
 
     Repeats of a word are counted within the document before the lookup, so a frequent word is at most one
-    row per document, and the sum over a document is one map-side-combined aggregate with a buffer per
-    dimension. The padding is never materialized.
+    row per document, and only known words go on to the sum, one map-side-combined vector aggregate per
+    document. The padding is never materialized.
     """
     tokens = F.slice(S.words(text), 1, cap)
-    counted = df.select(key, F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
-    found = counted.join(vectors.select("token", "vec"), "token", "left")
-    sums = [
-        F.sum(F.coalesce(F.col("vec")[i].cast("double") * F.col("n"), F.lit(0.0))).alias(f"s{i}") for i in range(d)
-    ]
-    total = found.groupBy(key).agg(F.sum("n").alias("n_tokens"), *sums)
+    counted = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(
+        F.count(F.lit(1)).cast("double").alias("n")
+    )
+    table = vectors.select("token", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("v"))
+    total = counted.join(table, "token").groupBy(key).agg(Summarizer.sum(F.col("v"), F.col("n")).alias("total"))
     if mode == "padded":
         if max_len is None:
             max_len = df.agg(F.max(F.size(S.words(text)))).scalar()
         divisor = F.least(F.lit(max_len) if isinstance(max_len, int) else max_len, F.lit(cap))
+        sizes = df.select(key).distinct()
     elif mode == "tokens":
-        divisor = F.col("n_tokens")
+        divisor = F.least("n_tokens", F.lit(cap))
+        sizes = df.groupBy(key).agg(F.sum(F.size(S.words(text))).alias("n_tokens"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    mean = F.array(*[F.when(divisor > 0, F.col(f"s{i}") / divisor).otherwise(0.0) for i in range(d)])
-    return total.select(key, mean.alias("vec"))
+    zeros = F.array_repeat(F.lit(0.0), d)
+    summed = sizes.join(total, key, "left").withColumn("divisor", divisor)
+    mean = F.transform(vector_to_array("total"), lambda x: x / F.col("divisor"))
+    return summed.select(key, F.when(F.col("total").isNotNull() & (F.col("divisor") > 0), mean).otherwise(zeros).alias("vec"))
 
 
 # --- feature matrix ----------------------------------------------------------------------------------------
@@ -110,6 +116,30 @@ class Block:
     triples: DataFrame
 
 
+def word_block(
+    docs: DataFrame,
+    fit_docs: DataFrame,
+    counts: DataFrame,
+    fit_counts: DataFrame,
+    key: str,
+    max_features: int,
+) -> Block:
+    """The weighted words as a block. The vocabulary, at most ``max_features`` rows, comes to the driver once:
+    it names the features and goes back as a literal table."""
+    fitted = V.tfidf_fit(fit_counts, V.document_count(fit_docs, key), max_features)
+    entries = fitted.collect()
+    vocab = docs.sparkSession.createDataFrame(entries, fitted.schema)
+    words = [r["token"] for r in sorted(entries, key=lambda r: r["idx"])]
+    return Block(words, V.tfidf_transform(counts, vocab, key).select(key, "idx", "value"))
+
+
+def term_block(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> Block:
+    """Term hits as a block, in the order of the terms."""
+    index = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
+    hits = V.hotspot_counts(docs, key, text, terms)
+    return Block([f"HP_{t}" for t in terms], hits.select(key, index[F.col("term")].alias("idx"), "value"))
+
+
 def vector_block(vectors: DataFrame, key: str, d: int, prefix: str, vec: str = "vec") -> Block:
     """A dense block from a vector column: every dimension of every document is a triple."""
     triples = vectors.select(key, F.posexplode(vec).alias("idx", "value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardlens.functions import lexicon
 from wardlens.operators import features as V
 from wardlens.functions import scalars as S
-from wardlens.session import spread
+from wardlens.session import materialize, spread
 from wardlens.sources.tables import read_table
 
 TERMS = ["the", "of the", "that", "tion", "and the", "th[ae]t", "in"]
@@ -44,7 +44,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.posexplode("e").alias("vec_id", "e")
     ).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("e.token").alias("token"))
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    both = ranked.join(vectors, "vec_id")
+    both = materialize(ranked.join(vectors, "vec_id"), "word-vectors")
     return (
         both.filter(F.col("vec_id") % 2 == 1).select("token", "vec"),
         both.filter(F.col("vec_id") % 2 == 0).select("token", "vec"),

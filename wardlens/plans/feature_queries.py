@@ -15,6 +15,7 @@ from wardlens.plans import corpus as K
 from wardlens.plans.registry import query, with_ctes, with_views
 from wardlens.plans.text_queries import LCS_SQL, SPLIT_SQL
 from wardlens.plans.text_queries import notes as note_texts
+from wardlens.session import materialize
 from wardlens.sources import files
 from wardlens.sources.tables import read_table
 
@@ -353,15 +354,10 @@ matrix as (
 def feature_matrix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     docs = K.documents(spark, sf)
     counts = word_counts(docs)
-    vocab = V.tfidf_fit(counts, V.document_count(docs, "doc_id"), MATRIX_WORDS)
-    words = V.tfidf_transform(counts, vocab, "doc_id").select("doc_id", "idx", "value")
-    term_index = F.create_map(*[F.lit(x) for i, t in enumerate(K.TERMS) for x in (t, i)])
-    hits = V.hotspot_counts(docs, "doc_id", "text", K.TERMS).select("doc_id", term_index[F.col("term")].alias("idx"), "value")
-    names = [row.token for row in vocab.select("token").orderBy("token").collect()]
     return W.combine_blocks(
         [
-            W.Block(names, words),
-            W.Block([f"HP_{t}" for t in K.TERMS], hits),
+            W.word_block(docs, docs, counts, counts, "doc_id", MATRIX_WORDS),
+            W.term_block(docs, "doc_id", "text", K.TERMS),
             W.vector_block(_average(spark, sf, "padded"), "doc_id", DIM, "w2v_"),
         ],
         "doc_id",
@@ -407,6 +403,7 @@ from placed p left join ranges r on {match}"""
 
 def _scaled(spark: SparkSession, sf: str, fit: str) -> DataFrame:
     triples, names = feature_matrix(spark, sf)
+    triples = materialize(triples, "triples")
     docs = D.split_dataset(K.documents(spark, sf), "doc_id").select("doc_id", "split")
     return W.min_max(triples, docs, "doc_id", fit, len(names)).withColumn("value", r6("value"))
 

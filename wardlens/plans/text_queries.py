@@ -14,14 +14,13 @@ from wardlens.plans import cohorts as C
 from wardlens.plans import corpus as K
 from wardlens.plans.cohort_queries import CLEAN_SQL, COHORT_NOTES_SQL, PREFIX, TEST_NEGATIVE_LIMIT
 from wardlens.plans.registry import query, with_ctes, with_views
-from wardlens.session import spread
 from wardlens.sources.tables import load_tables
 
 STOP = lexicon.ENGLISH_STOP_WORDS
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(load_tables(spark, sf).notes.select("row_id", "text"), "row_id")
+    return load_tables(spark, sf).notes.select("row_id", "text")
 
 
 # --- scalar functions --------------------------------------------------------------------------------------

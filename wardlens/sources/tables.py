@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlens.session import spread
+
 ADMISSIONS = T.StructType([
     T.StructField("subject_id", T.LongType()),
     T.StructField("hadm_id", T.LongType()),
@@ -64,7 +66,7 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     orders = read_table(spark, sf_dir, "orders")
     lineitem = read_table(spark, sf_dir, "lineitem")
     part = read_table(spark, sf_dir, "part")
-    documents = read_table(spark, sf_dir, "documents")
+    documents = spread(read_table(spark, sf_dir, "documents"), "doc_id")
 
     admissions = orders.select(
         F.col("o_custkey").alias("subject_id"),
