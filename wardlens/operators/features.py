@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wardlens.functions import lexicon
 from wardlens.functions import scalars as S
 
+# A vocabulary is numbered in one task and broadcast; more words than this are refused.
+MOST_FEATURES = 1_000_000
+
 # --- counts and vocabularies -------------------------------------------------------------------------------
 
 
@@ -35,8 +38,10 @@ def document_count(df: DataFrame, key: str) -> Column:
 def top_vocab(counts: DataFrame, max_features: int) -> DataFrame:
     """The most frequent tokens, ties by token: (token, idx, cf, df); ``idx`` follows the token order.
 
-    At most ``max_features`` rows are gathered to number them.
+    At most ``max_features`` rows, themselves at most MOST_FEATURES, are gathered to number them.
     """
+    if max_features > MOST_FEATURES:
+        raise ValueError(f"max_features is limited to {MOST_FEATURES}")
     totals = counts.groupBy("token").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     top = totals.orderBy(F.desc("cf"), F.asc("token")).limit(max_features)
     return (
@@ -60,8 +65,8 @@ def tfidf_fit(counts: DataFrame, n_docs: Column, max_features: int, smooth: bool
 def tfidf_transform(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
     """Weights of the vocabulary words of each document, each document scaled to length 1: (key, token, idx, value).
 
-    The vocabulary is bounded by its ``limit`` and so broadcast; a document then has at most that many rows,
-    which is what bounds the window over it.
+    ``vocab`` comes from ``top_vocab``, which bounds its size, and so is broadcast; a document then has at most
+    that many rows, which is what bounds the window over it.
     """
     tf = (F.log("tf") + 1) if sublinear else F.col("tf")
     weighted = counts.join(F.broadcast(vocab.select("token", "idx", "idf")), "token").withColumn("w", tf * F.col("idf"))

@@ -36,20 +36,16 @@ def label_name(label: Column) -> Column:
 
 # --- joins -------------------------------------------------------------------------------------------------
 
-def coded_admissions(diagnoses: DataFrame, condition: Column) -> DataFrame:
-    """Admissions with at least one code that meets the condition; one row each."""
-    return diagnoses.filter(condition).select("hadm_id").distinct()
-
-
 def coded_notes(notes: DataFrame, diagnoses: DataFrame, condition: Column) -> DataFrame:
     """Valid notes of admissions with a matching code.
 
     The inner join of the reference multiplies notes by codes, and only distinct values of the note are used
     after it, so a semi join on the admission keeps the same subjects and dates without the fan-out. The
-    subject comes from the note and must not be NULL.
+    subject comes from the note and must not be NULL. Repeated admissions on the right are harmless to a semi
+    join, and left undistinguished they keep the join open to the runtime's splitting of a hot admission.
     """
     kept = valid_notes(notes).filter(F.col("subject_id").isNotNull())
-    return kept.join(coded_admissions(diagnoses, condition), "hadm_id", "left_semi")
+    return kept.join(diagnoses.filter(condition).select("hadm_id"), "hadm_id", "left_semi")
 
 
 def known_codes(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -57,13 +53,29 @@ def known_codes(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
     return diagnoses.join(dictionary, "icd9_code", "left_semi")
 
 
+def join_grouped(left: DataFrame, grouped: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a relation grouped by the same keys, leaving hot keys of ``left`` open to splitting.
+
+    A grouped relation is already partitioned by its keys, so the plain join adds no exchange on its side,
+    and the runtime splits a hot key only where both sides have one. Joining on the keys written as text asks
+    for that exchange; one narrow row per key moves.
+    """
+    parts = [F.col(k).cast("string") for k in keys]
+    key = F.concat(*[x for p in parts for x in (p, F.lit("|"))])
+    left = left.withColumn("join_key", key)
+    grouped = grouped.withColumn("join_key", key).drop(*keys)
+    if how == "left_semi":
+        grouped = grouped.select("join_key")
+    return left.join(grouped, "join_key", how).drop("join_key")
+
+
 def restrict_subjects(df: DataFrame, subjects: DataFrame) -> DataFrame:
-    return df.join(subjects.select("subject_id"), "subject_id", "left_semi")
+    return join_grouped(df, subjects.select("subject_id"), ["subject_id"], "left_semi")
 
 
 def attach_notes(flags: DataFrame, notes: DataFrame) -> DataFrame:
     """Admissions with their notes."""
-    return flags.join(notes, ["subject_id", "hadm_id"])
+    return join_grouped(notes, flags, ["subject_id", "hadm_id"])
 
 
 def join_labels(texts: DataFrame, labels: DataFrame, key: str = "subject_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions import lexicon
 from wardlens.functions import scalars as S
+from wardlens.operators.relations import join_grouped
 from wardlens.session import plan_bytes
 
 # --- cleaning recipes --------------------------------------------------------------------------------------
@@ -52,24 +53,29 @@ def word_count(text: Column) -> Column:
 
 # --- lemmas ------------------------------------------------------------------------------------------------
 
-def suffix_lemmas(vocabulary: DataFrame) -> DataFrame:
+def suffix_lemmas(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(token, lemma) for tokens that a noun ending turns into another word of the vocabulary.
 
-    The shortest such word wins, ties in alphabetical order. Tokens that are their own lemma are left out.
+    The shortest of the token itself, if it is in the vocabulary, and the words its endings lead to wins; on a
+    tie the token itself, then the earlier ending. Tokens that are their own lemma are left out.
     """
+    vocabulary = tokens if vocabulary is None else vocabulary
     token = F.col("token")
-    candidates = F.array_compact(
-        F.array(*[
-            F.when(token.endswith(ending), F.concat(token.substr(F.lit(1), F.length(token) - len(ending)), F.lit(becomes)))
-            for ending, becomes in lexicon.NOUN_SUFFIXES
-        ])
-    )
-    tried = vocabulary.select(token, F.explode(F.array_distinct(candidates)).alias("lemma")).filter(
-        (F.length("lemma") > 0) & (F.length("lemma") < F.length("token"))
-    )
+    candidates = [F.struct(F.lit(0).alias("turn"), token.alias("lemma"))] + [
+        F.when(
+            token.endswith(ending),
+            F.struct(
+                F.lit(i + 1).alias("turn"),
+                F.concat(token.substr(F.lit(1), F.length(token) - len(ending)), F.lit(becomes)).alias("lemma"),
+            ),
+        )
+        for i, (ending, becomes) in enumerate(lexicon.NOUN_SUFFIXES)
+    ]
+    tried = tokens.select(token, F.inline(F.array_compact(F.array(*candidates)))).filter(F.length("lemma") > 0)
     known = tried.join(vocabulary.select(token.alias("lemma")), "lemma", "left_semi")
-    best = F.min(F.struct(F.length("lemma").alias("n"), "lemma"))
-    return known.groupBy("token").agg(best.alias("best")).select("token", F.col("best.lemma").alias("lemma"))
+    best = F.min(F.struct(F.length("lemma").alias("n"), "turn", "lemma")).alias("best")
+    found = known.groupBy("token").agg(best).select("token", F.col("best.lemma").alias("lemma"))
+    return found.filter(F.col("lemma") != F.col("token"))
 
 
 def dominant_pos(senses: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def lookup_tokens(positions: DataFrame, key: str, table: DataFrame, how: str = "
     if plan_bytes(table) <= _broadcast_threshold(positions):
         return positions.join(table, "token", how)
     folded = positions.groupBy(key, "token").agg(F.collect_list("pos").alias("places"))
-    joined = folded.join(table, "token", how)
+    joined = join_grouped(folded, table, ["token"], how)
     columns = [c for c in joined.columns if c not in ("places",)]
     return joined.select(*columns, F.explode_outer("places").alias("pos"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions import scalars as S
 from wardlens.operators import features as V
+from wardlens.operators.relations import join_grouped
 from wardlens.operators.text import lookup_tokens, token_positions
 
 # Rows of the padded matrix that the mean runs over.
@@ -89,7 +90,7 @@ def average_embedding(
         F.count(F.lit(1)).cast("double").alias("n")
     )
     table = vectors.select("token", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("v"))
-    total = counted.join(table, "token").groupBy(key).agg(Summarizer.sum(F.col("v"), F.col("n")).alias("total"))
+    total = join_grouped(counted, table, ["token"]).groupBy(key).agg(Summarizer.sum(F.col("v"), F.col("n")).alias("total"))
     if mode == "padded":
         if max_len is None:
             max_len = df.agg(F.max(F.size(S.words(text)))).scalar()

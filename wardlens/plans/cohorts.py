@@ -80,7 +80,13 @@ def record_days(t: Tables, prefix: str) -> DataFrame:
     kinds = t.diagnoses.groupBy("hadm_id").agg(
         F.bool_or(hit).alias("has_prefix"), F.bool_or(~hit).alias("has_other")
     )
-    kept = R.valid_notes(t.notes).filter(F.col("subject_id").isNotNull()).select("subject_id", "hadm_id", "chartdate")
+    # distinct dates first: an admission then has as many rows as days, however many notes it holds
+    kept = (
+        R.valid_notes(t.notes)
+        .filter(F.col("subject_id").isNotNull())
+        .select("subject_id", "hadm_id", "chartdate")
+        .distinct()
+    )
     per_date = (
         kept.join(kinds, "hadm_id")
         .groupBy("subject_id", "chartdate")

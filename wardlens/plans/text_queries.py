@@ -251,18 +251,21 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _suffix_sql() -> str:
-    rules = "\n  union\n  ".join(
-        f"select token, substr(token, 1, length(token) - {len(a)}) || '{b}' as lemma from vocabulary where token like '%{a}'"
-        for a, b in lexicon.NOUN_SUFFIXES
+    rules = "\n  union all\n  ".join(
+        f"select token, {i + 1} as turn, substr(token, 1, length(token) - {len(a)}) || '{b}' as lemma "
+        f"from vocabulary where token like '%{a}'"
+        for i, (a, b) in enumerate(lexicon.NOUN_SUFFIXES)
     )
     return f"""
 tried as (
+  select token, 0 as turn, token as lemma from vocabulary
+  union all
   {rules}),
 suffix_lemmas as (
   select token, lemma from (
-    select t.token, t.lemma, row_number() over (partition by t.token order by length(t.lemma), t.lemma) as rn
-    from tried t join vocabulary v on t.lemma = v.token
-    where length(t.lemma) > 0 and length(t.lemma) < length(t.token)) where rn = 1)"""
+    select t.token, t.lemma, row_number() over (partition by t.token order by length(t.lemma), t.turn) as rn
+    from tried t join vocabulary v on t.lemma = v.token where length(t.lemma) > 0)
+  where rn = 1 and lemma <> token)"""
 
 
 @query("suffix_lemmas", "T8", with_ctes(VOCABULARY_SQL, _suffix_sql()) + "select token, lemma from suffix_lemmas")
