@@ -97,6 +97,7 @@ def admission_flags(
     mode: str = "reference",
     with_list: bool = False,
     list_limit: int = CODES_PER_LIST,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (subject_id, hadm_id): n_codes, detected flag and, on request, the ordered code list.
 
@@ -106,7 +107,8 @@ def admission_flags(
     any size aggregate on the map side.
 
     The list itself is a cell. Admissions with more than ``list_limit`` codes get NULL there, and
-    ``code_lists`` gives their codes in pieces.
+    ``code_lists`` gives their codes in pieces. ``counted`` may name a cheaper table with at least as many rows
+    per admission, to find those admissions from.
     """
     keys = ["subject_id", "hadm_id"]
     code = F.col("icd9_code")
@@ -120,7 +122,7 @@ def admission_flags(
     if not with_list:
         grouped = diagnoses.groupBy(*keys).agg(*counts)
     else:
-        big = hot_keys(diagnoses, keys, list_limit)
+        big = hot_keys(diagnoses if counted is None else counted, keys, list_limit)
         small = diagnoses if big is None else diagnoses.join(big, keys, "left_anti")
         grouped = small.groupBy(*keys).agg(*counts, _ordered_list(order).alias("icd9_code_list"))
         if big is not None:

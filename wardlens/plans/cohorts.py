@@ -149,7 +149,7 @@ def cohort_admissions(
     Diagnoses are folded to one row per admission before they meet the admissions table.
     """
     codes = R.restrict_subjects(R.known_codes(t.diagnoses, t.dictionary), subjects)
-    flags = R.admission_flags(codes, prefix, t.code_order, mode, with_list)
+    flags = R.admission_flags(codes, prefix, t.code_order, mode, with_list, counted=t.diagnoses)
     return t.admissions.join(flags, ["subject_id", "hadm_id"])
 
 

@@ -49,13 +49,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; make one up only for a local session that names none."""
     context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wardlens-checkpoint-"))
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardlens-checkpoint-"))
 
 
 def plan_bytes(df: DataFrame) -> int:
