@@ -108,3 +108,18 @@ def test_experiment_and_sweep(spark):
     row = table.first()
     assert row["boosted_accuracy"] == 1.0 and row["svm_accuracy"] == 1.0
     assert E.best_config(table, X.METRICS).first()["config"] == 0
+
+
+def test_a_document_in_pieces_is_one_row_of_the_matrix(spark):
+    whole = [(i, "heart knee lung " * 2 + f"w{i % 3}", i % 2, "train") for i in range(10)]
+    cut = [(i, part, label, split) for i, text, label, split in whole for part in (text[:16], text[16:])]
+    config = X.Config(max_features=10, topics=2, topic_passes=1, topic_batches=1)
+    schema = "doc_id long, text string, label int, split string"
+    found = []
+    for rows in (whole, cut):
+        matrix = X.build_matrix(spark.createDataFrame(rows, schema), ["heart", "knee"], config)
+        keep = [i for i, name in enumerate(matrix.names) if not name.startswith("LDA_")]
+        values = {r["doc_id"]: [round(r["features"].toArray()[i], 9) for i in keep] for r in matrix.rows.collect()}
+        assert matrix.rows.count() == 10
+        found.append(values)
+    assert found[0] == found[1]

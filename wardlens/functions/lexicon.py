@@ -6,7 +6,7 @@ import unicodedata
 
 # --- fixed values ------------------------------------------------------------------------------------------
 
-# The 179-word English stop list of the reference pipelines.
+# The 179-word English stop list.
 ENGLISH_STOP_WORDS = """
 i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his
 himself she she's her hers herself it it's its itself they them their theirs themselves what which who whom this

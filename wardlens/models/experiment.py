@@ -60,7 +60,7 @@ def build_matrix(
 ) -> Matrix:
     """Word weights, term hits, topic weights and averaged word vectors, scaled, as one vector per document.
 
-    ``docs`` has (key, text, label, split) with cleaned text.
+    ``docs`` has (key, text, label, split) with cleaned text, a document cut in pieces on several rows.
     """
     docs = materialize(docs.select(key, "text", "label", "split"), "documents")
     fit_docs = D.fit_rows(docs, config.fit_splits)
@@ -84,7 +84,7 @@ def build_matrix(
     triples, names = W.combine_blocks(blocks, key)
     # read twice below: for the ranges of the features and for the scaled values
     triples = materialize(triples, "triples")
-    labels = docs.select(key, "label", "split")
+    labels = docs.select(key, "label", "split").dropDuplicates([key])
     scaled = W.min_max(triples, labels, key, config.scale, len(names))
     rows = materialize(W.pack_vectors(scaled, labels, key, len(names)), "matrix")
     return Matrix(rows, names, model)

@@ -135,10 +135,10 @@ def word_block(
 
 
 def term_block(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> Block:
-    """Term hits as a block, in the order of the terms."""
+    """Term hits as a block, in the order of the terms; the pieces of a cut document add up."""
     index = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
-    hits = V.hotspot_counts(docs, key, text, terms)
-    return Block([f"HP_{t}" for t in terms], hits.select(key, index[F.col("term")].alias("idx"), "value"))
+    hits = V.hotspot_counts(docs, key, text, terms).groupBy(key, index[F.col("term")].alias("idx"))
+    return Block([f"HP_{t}" for t in terms], hits.agg(F.sum("value").alias("value")))
 
 
 def vector_block(vectors: DataFrame, key: str, d: int, prefix: str, vec: str = "vec") -> Block:
