@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlens.llm import decontaminate as _decontaminate
+from wardlens.llm import simhash as _simhash
 from wardlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,8 @@ def _register(name: str, sql: str | None = None):
 @_register("op1_decontamination", _decontaminate.SQL)
 def _op1(spark, table):
     return _decontaminate.digest(_decontaminate.decontaminate(table("documents"), table("benchmark")))
+
+
+@_register("op6_simhash")
+def _op6(spark, table):
+    return _simhash.digest(table("documents"))
