@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardlens.llm import decontaminate as _decontaminate
 from wardlens.llm import simhash as _simhash
+from wardlens.llm import suffix as _suffix
 from wardlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,8 @@ def _op1(spark, table):
 @_register("op6_simhash")
 def _op6(spark, table):
     return _simhash.digest(table("documents"))
+
+
+@_register("op7_suffix_dedup")
+def _op7(spark, table):
+    return _suffix.digest(table("documents"))
