@@ -80,9 +80,9 @@ def test_large_groups_use_the_sorted_classes():
     core = bytes(rng.choice(b"abc") for _ in range(400))
     members = []
     for k in range(40):
-        left, right = rng.randint(0, 200), rng.randint(248, 400)
+        left, right = rng.randint(0, 200), rng.randint(232, 400)
         data = bytes([200 + k % 5] * rng.randint(0, 3)) + core[left:right] + bytes([100 + k % 7] * 60)
-        at = data.find(core[200:248])
+        at = data.find(core[200:232])
         members.append((data[at : at + 200], data[max(0, at - suffix.REACH) : at][::-1]))
     members.sort()
     shared = [0] + [suffix.shared_prefix(a[0], b[0]) for a, b in zip(members, members[1:])]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlens.llm import decontaminate as _decontaminate
+from wardlens.llm import packing as _packing
 from wardlens.llm import simhash as _simhash
 from wardlens.llm import suffix as _suffix
 from wardlens.session import prepare
@@ -14,6 +15,9 @@ from wardlens.session import prepare
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Vocabulary of the packing query, by its name in the package of public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def _register(name: str, sql: str | None = None):
     def register(fn):
@@ -41,3 +45,15 @@ def _op6(spark, table):
 @_register("op7_suffix_dedup")
 def _op7(spark, table):
     return _suffix.digest(table("documents"))
+
+
+@_register("op10_packing")
+def _op10(spark, table):
+    return _packing.digest(table("documents"), tokenizer_path(TOKENIZER))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the same path on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

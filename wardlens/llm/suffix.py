@@ -19,14 +19,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.shared import stored
 
 WINDOW = 200
-#: Bytes of a gram; an anchor is at most WINDOW - GRAM bytes behind the start of its string.
-GRAM = 48
+#: Bytes of a gram; an anchor is at most WINDOW - GRAM bytes behind the start of its string. Longer grams match less
+#: often by chance, shorter ones leave anchors further apart.
+GRAM = 32
 REACH = WINDOW - GRAM
 #: Grams with more occurrences than this are resolved by counting their strings in an aggregate instead of in one task.
 HOT_GRAM = 20_000
@@ -140,11 +142,11 @@ def _front_code(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
         shared.append(n)
         rest.append(s[n:])
         last = s
-    return bytes(shared), bytes(map(len, strings)), b"".join(rest)
+    return bytes(shared), bytes(map(len, strings)), zstandard.compress(b"".join(rest))
 
 
 def _decode(shared: bytes, sizes: bytes, rest: bytes) -> Iterator[tuple[int, bytes]]:
-    last, at = b"", 0
+    last, at, rest = b"", 0, zstandard.decompress(rest)
     for n, size in zip(shared, sizes, strict=True):
         more = size - n
         last = last[:n] + rest[at : at + more]
