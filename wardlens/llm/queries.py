@@ -10,6 +10,7 @@ from wardlens.llm import decontaminate as _decontaminate
 from wardlens.llm import packing as _packing
 from wardlens.llm import simhash as _simhash
 from wardlens.llm import suffix as _suffix
+from wardlens.llm import warc as _warc
 from wardlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@_register("op2_warc", _warc.SQL)
+def _op2(spark, table):
+    return _warc.digest(table("pages"))
