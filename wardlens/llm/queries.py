@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlens.llm import decontaminate as _decontaminate
+from wardlens.llm import embeddings as _embeddings
+from wardlens.llm import html_blocks as _html_blocks
 from wardlens.llm import packing as _packing
 from wardlens.llm import simhash as _simhash
 from wardlens.llm import suffix as _suffix
@@ -63,3 +65,13 @@ def tokenizer_path(name: str) -> str:
 @_register("op2_warc", _warc.SQL)
 def _op2(spark, table):
     return _warc.digest(table("pages"))
+
+
+@_register("op3_html_text")
+def _op3(spark, table):
+    return _html_blocks.digest(table("pages"))
+
+
+@_register("op9_cover_tree")
+def _op9(spark, table):
+    return _embeddings.digest(table("embeddings"))
