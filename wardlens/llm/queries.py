@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from wardlens.llm import decontaminate as _decontaminate
 from wardlens.llm import embeddings as _embeddings
 from wardlens.llm import html_blocks as _html_blocks
+from wardlens.llm import langid as _langid
 from wardlens.llm import packing as _packing
+from wardlens.llm import quality as _quality
 from wardlens.llm import simhash as _simhash
 from wardlens.llm import suffix as _suffix
+from wardlens.llm import toxicity as _toxicity
 from wardlens.llm import warc as _warc
 from wardlens.session import prepare
 
@@ -75,3 +78,18 @@ def _op3(spark, table):
 @_register("op9_cover_tree")
 def _op9(spark, table):
     return _embeddings.digest(table("embeddings"))
+
+
+@_register("op4_quality")
+def _op4(spark, table):
+    return _quality.digest(table("documents"), table("labels"))
+
+
+@_register("op5_language")
+def _op5(spark, table):
+    return _langid.digest(table("documents"))
+
+
+@_register("op8_toxicity")
+def _op8(spark, table):
+    return _toxicity.digest(table("documents"), table("labels"))

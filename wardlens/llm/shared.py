@@ -40,6 +40,19 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
 
 
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, *, folds: int, fold: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label) of at most ``limit`` labelled documents outside the held-out fold.
+
+    The ids are chosen from the narrow label table by hash, so that the texts are only scanned. Rows without a
+    label do not count; of several labels of a document the largest does.
+    """
+    ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).dropna()
+    ids = ids.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = bounded_sample(ids, "id", limit, label)
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "id")
+
+
 def text_slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``limit`` characters, so that work arrays stay small."""
     start = total = 0
