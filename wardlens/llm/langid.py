@@ -27,6 +27,8 @@ BUCKETS = 1 << 17
 STEPS = 25
 GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Share of a document's words that its language needs for the document to be accepted.
+LEAST_SHARE = 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -235,6 +237,21 @@ def predict(documents: DataFrame, model: Field, id_col: str = "doc_id", text_col
     return rows.mapInArrow(predicted, f"id {kind}, lang_pred string, score double")
 
 
+def accepted(documents: DataFrame, model: Field, least: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
+    """Rows of ``documents``, all columns, whose text has a language that makes up at least ``least`` of its words."""
+    at = documents.columns.index(text_col)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = []
+            for a, b in text_slices(texts):
+                keep += [lang != UNKNOWN and score >= least for lang, score in zip(*model.predict(texts[a:b]), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(filtered, documents.schema)
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """The columns of the query."""
     rows = predict(documents, fit(documents)).withColumnRenamed("id", "doc_id")

@@ -406,8 +406,10 @@ def _hot_spans(around: DataFrame) -> DataFrame:
     )
 
 
-def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, hot_gram: int = HOT_GRAM) -> DataFrame:
-    """(id, text, spans) per row; spans are (start, stop) in bytes of UTF-8, they may overlap; null where there are none.
+def repeated_spans(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, hot_gram: int = HOT_GRAM, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, text, spans, then a struct ``carried`` of the columns named) per row; spans are (start, stop) in bytes of UTF-8, they may overlap; null where there are none.
 
     A null text is empty. Ids are integers or null. Repeated rows count as separate texts, so both are removed.
     Other columns are not read.
@@ -417,7 +419,10 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
+    # named wherever the texts are exchanged, so that one exchange serves all
+    more = ["carried"] if carry else []
     found = stored(texts.select("id", "mark", "text").mapInArrow(_find_anchors, "id long, mark long, place long, gram long"), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > 1)
     hot = F.col("held") > hot_gram
@@ -431,12 +436,12 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BUCKET)))
     around = texts.join(again, ["id", "mark"])
-    blocks = around.select("id", "mark", "text", "places").mapInArrow(_make_runs(4 * tasks), _BLOCK)
+    blocks = around.select("id", "mark", "text", "places", "given", *more).mapInArrow(_make_runs(4 * tasks), _BLOCK)
     spans = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_blocks, "id long, mark long, start long, stop long")
     if n_hot:
-        spans = spans.unionByName(_hot_spans(around.select("id", "mark", "text", F.col("hot_places").alias("places"))))
+        spans = spans.unionByName(_hot_spans(around.select("id", "mark", "text", F.col("hot_places").alias("places"), "given", *more)))
     per_text = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return texts.join(per_text, ["id", "mark"], "left").select(F.col("given").alias("id"), "text", "spans")
+    return texts.join(per_text, ["id", "mark"], "left").select(F.col("given").alias("id"), "text", "spans", *more)
 
 
 def united(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -485,10 +490,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a span may begin or end inside a character; what is left of it is dropped
             data = kept_bytes(_text_bytes(text.as_py()), united(found.as_py()))
             texts.append(data.decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], names=["id", "text", *batch.schema.names[3:]])
 
 
 def kept_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): the text without its repeated passages."""
-    kind = documents.schema[id_col].dataType.simpleString()
-    return repeated_spans(documents, id_col, text_col).mapInArrow(_kept, f"id {kind}, text string")
+    """The rows of ``documents``, all columns, with the text without its repeated passages."""
+    others = tuple(c for c in documents.columns if c not in (id_col, text_col))
+    found = repeated_spans(documents, id_col, text_col, carry=others)
+    fields = [f"id {documents.schema[id_col].dataType.simpleString()}", "text string"]
+    if others:
+        fields.append("carried struct<" + ",".join(f"`{c}`:{documents.schema[c].dataType.simpleString()}" for c in others) + ">")
+    kept = found.mapInArrow(_kept, ", ".join(fields))
+    source = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("carried").getField(c) for c in others}
+    return kept.select(*[source[c].alias(c) for c in documents.columns])
