@@ -22,41 +22,72 @@ from wardlens.llm.shared import stored, text_slices
 CAPACITY = 4096
 #: Id put behind every document.
 END = 1
-#: Words whose ids a task remembers.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers, twice at most.
+REMEMBERED = 400_000
 #: A plan of at most this many rows (40 bytes each) is broadcast.
 BROADCAST_ROWS = 500_000
 #: Pieces of one length are ranked in this many shares, so that a frequent length is no single task.
 SHARES = 64
 
-# Ids of words met before, and the tokenizer; a Python worker keeps them from task to task.
-_KNOWN: dict[str, bytes] = {}
-_TOKENIZERS: dict[str, object] = {}
+# Ids of words met lately and before, by tokenizer; a Python worker keeps them from task to task.
+_MEMORY: dict[str, _Memory] = {}
 
+_ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
-def _learn(tokenizer_path: str, words: set[str]) -> None:
-    """Remember the ids of new words.
 
-    The tokenizer lower-cases, drops white space and splits letters from marks, so an ASCII word may be
-    lower-cased, and a last comma or full stop after an ASCII letter coded alone.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = _TOKENIZERS.get(tokenizer_path)
-    if tokenizer is None:
-        _KNOWN.clear()
-        _TOKENIZERS.clear()
-        tokenizer = _TOKENIZERS[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-    elif len(_KNOWN) + len(words) > REMEMBERED:
-        _KNOWN.clear()  # ``words`` are then all that the batch needs
-    parts = {w: _parts(w) for w in words}
-    new = list({p for ps in parts.values() for p in ps} - _KNOWN.keys())
-    for at in range(0, len(new), 5000):
-        some = new[at : at + 5000]
-        for word, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            _KNOWN[word] = np.array(coded.ids, "<u4").tobytes()
-    for word, ps in parts.items():
-        _KNOWN[word] = b"".join([_KNOWN[p] for p in ps])
+class _Memory:
+    """A tokenizer and the ids of words; when full, words that were not needed lately are forgotten."""
+
+    def __init__(self, tokenizer_path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        last = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[last] = True
+
+    def lookup(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that has at least ``words``."""
+        missing = words - self.recent.keys()
+        if len(self.recent) + len(missing) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+            missing = words
+        new = []
+        for word in missing:
+            known = self.older.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                self.recent[word] = known
+        self._learn(new)
+        return self.recent
+
+    def _learn(self, words: list[str]) -> None:
+        """The tokenizer lower-cases, drops white space and splits letters from marks, so an ASCII word may be
+        lower-cased, a last comma or full stop after an ASCII letter coded alone, and words of ASCII letters, which are
+        one word to the tokenizer, coded together and told apart by its word ends."""
+        parts = {w: _parts(w) for w in words}
+        needed = {p for ps in parts.values() for p in ps}
+        coded = {p: found for p in needed if (found := self.recent.get(p) or self.older.get(p)) is not None}
+        needed -= coded.keys()
+        plain = [p for p in needed if p and _ASCII_LETTERS.issuperset(p)]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not mark the end of each word")
+            data = ids.tobytes()
+            start = 0
+            for word, stop in zip(some, (4 * stops).tolist(), strict=True):
+                coded[word] = data[start:stop]
+                start = stop
+        for word in needed.difference(plain):
+            coded[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        for word, ps in parts.items():
+            self.recent[word] = b"".join([coded[p] for p in ps])
 
 
 def _parts(word: str) -> tuple[str, ...]:
@@ -74,13 +105,9 @@ def ids_of(texts: list[str], tokenizer_path: str) -> list[bytes]:
         for blank in "\t\n\x0b\x0c\r":
             text = text.replace(blank, " ")
         words.append(text.split(" "))
-    needed = set().union(*words)
-    if tokenizer_path not in _TOKENIZERS or not needed <= _KNOWN.keys():
-        missing = needed - _KNOWN.keys() if tokenizer_path in _TOKENIZERS else needed
-        if len(_KNOWN) + len(missing) > REMEMBERED:
-            missing = needed
-        _learn(tokenizer_path, missing)
-    get = _KNOWN.__getitem__
+    if tokenizer_path not in _MEMORY:
+        _MEMORY[tokenizer_path] = _Memory(tokenizer_path)
+    get = _MEMORY[tokenizer_path].lookup(set().union(*words)).__getitem__
     return [b"".join(map(get, ws)) for ws in words]
 
 

@@ -31,7 +31,7 @@ WINDOW = 200
 GRAM = 32
 REACH = WINDOW - GRAM
 #: Grams with more occurrences than this are resolved by counting their strings in an aggregate instead of in one task.
-HOT_GRAM = 20_000
+HOT_GRAM = 150_000
 #: Suffixes per run and, on average, per receiving bucket.
 RUN = 40_000
 BUCKET = 25_000

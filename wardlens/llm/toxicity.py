@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import held_out, labelled_texts, stored, text_slices
+from wardlens.llm.shared import held_out, labelled_texts, text_slices
 
 #: Labelled documents that are used for learning at most, and word features kept at most.
 LABELLED = 20_000
@@ -185,6 +186,8 @@ def restore(token: str, model: np.ndarray) -> str:
 def _disguised(token: str) -> bool:
     """Whether the channel may have changed the token: a look-alike, mark or threefold letter among letters."""
     if token.isalpha():
+        if token.isascii():
+            return _THREEFOLD.search(token) is not None
         return not LOOKALIKES.keys().isdisjoint(token) or _THREEFOLD.search(token) is not None
     return any(map(str.isalpha, token)) or sum(c in LOOKALIKES for c in token) > 2
 
@@ -196,7 +199,7 @@ class Restorer:
         self.model = model
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def words(self, token: str) -> tuple[str, ...]:
+    def words(self, token: str, keep: bool = True) -> tuple[str, ...]:
         """What a lower-cased token stands for: as it is without marks at its ends and, if disguised, restored."""
         found = self.known.get(token)
         if found is None:
@@ -207,7 +210,8 @@ class Restorer:
             found = tuple(sorted(w for w in options if w))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[token] = found
+            if keep or len(options) > 1:
+                self.known[token] = found
         return found
 
     def of_text(self, text: str) -> set[str]:
@@ -261,20 +265,62 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _keys_of(model: np.ndarray):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, label, text) -> (id, label, word, key): the keys of each distinct word; one row without for a text without words."""
+class Weigher:
+    """Evidence of the words of texts."""
+
+    def __init__(self, model: np.ndarray, lexicon: dict[int, float]) -> None:
+        self.restorer = Restorer(model)
+        self.lexicon = lexicon
+        self.known: dict[str, tuple[tuple[str, float], ...]] = {}
+
+    def weighed(self, words: tuple[str, ...]) -> tuple[tuple[str, float], ...]:
+        """Words of the lexicon with the strongest evidence among their keys."""
+        pairs = ((w, max(self.lexicon.get(k, 0.0) for k in word_keys(w))) for w in words)
+        return tuple(p for p in pairs if p[1])
+
+    def of_text(self, text: str | None) -> list[float]:
+        """Evidence of each distinct word that has any."""
+        text = (text or "").lower()
+        tokens = set(text.split())
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for token in tokens - known.keys():
+            known[token] = self.weighed(self.restorer.words(token, keep=False))
+        found: dict[str, float] = {}
+        for token in tokens:
+            if known[token]:
+                found.update(known[token])
+        for run in _SPACED.findall(text):
+            found.update(self.weighed(self.restorer.spaced(run)))
+        return list(found.values())
+
+
+def _key_counts(model: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(label, text) -> (key, toxic, all): in how many of the task's documents each key occurs."""
         restorer = Restorer(model)
+        toxic: Counter[int] = Counter()
+        every: Counter[int] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(every)
+            columns = [keys, [toxic[k] for k in keys], [every[k] for k in keys]]
+            toxic.clear()
+            every.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "toxic", "all"])
+
         for batch in batches:
-            for i, label, text in zip(*batch.columns, strict=True):
-                keys = (word_keys(w) for w in sorted(restorer.of_text(text.as_py() or "")))
-                found = [(ks[0], k) for ks in keys for k in ks] or [(None, None)]
-                n = len(found)
-                columns = [[i.as_py()] * n, [label.as_py()] * n, [f[0] for f in found], [f[1] for f in found]]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "label", "word", "key"])
+            for label, text in zip(*batch.columns, strict=True):
+                keys = {k for w in restorer.of_text(text.as_py() or "") for k in word_keys(w)}
+                every.update(keys)
+                if label.as_py() == 1:
+                    toxic.update(keys)
+                if len(every) > 500_000:
+                    yield flush()
+        yield flush()
 
-    return keys
+    return count
 
 
 def fit_weights(x: np.ndarray, label: np.ndarray, penalty: float = 0.05) -> tuple[float, ...]:
@@ -294,70 +340,47 @@ def fit(documents: DataFrame, labels: DataFrame, model: np.ndarray, label: str =
 
     While the weights are learned each document is scored without its own contribution to the lexicon.
     """
-    chosen = labelled_texts(documents, labels, label, folds=folds, fold=fold, limit=limit)
-    rows = stored(chosen.select("id", "label", "text").mapInArrow(_keys_of(model), "id long, label int, word long, key long"), "word-keys")
-    n_toxic, n_clean = (rows.filter(F.col("label") == k).select("id").distinct().count() for k in (1, 0))
+    chosen = labelled_texts(documents, labels, label, folds=folds, fold=fold, limit=limit).select("label", "text")
+    totals = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return Scorer({}, (3.0 if n_toxic else -3.0, 0.0, 0.0, 0.0))
-    toxic = F.sum(F.col("label").cast("long"))
-    counts = rows.filter(F.col("key").isNotNull()).select("id", "label", "key").distinct().groupBy("key").agg(toxic.alias("toxic"), F.count(F.lit(1)).alias("all"))
+    counts = chosen.mapInArrow(_key_counts(model), "key long, toxic long, all long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
     # only keys of three toxic documents that are commoner there than elsewhere can count
     counts = counts.filter((F.col("toxic") >= 3) & (F.col("toxic") * n_clean > (F.col("all") - F.col("toxic")) * n_toxic))
     table = counts.orderBy((F.col("toxic") / F.col("all")).desc(), F.col("toxic").desc(), "key").limit(LEXICON).collect()
-    t = {r["key"]: r["toxic"] for r in table}
-    c = {r["key"]: r["all"] - r["toxic"] for r in table}
-    keys = np.array(list(t), np.int64)
-    tv, cv = np.array([t[k] for k in t], float), np.array([c[k] for k in t], float)
-    value = evidence(tv, cv, n_toxic, n_clean) if len(keys) else np.empty(0)
-    scorer = Scorer({int(k): float(v) for k, v in zip(keys, value, strict=True) if v > 0}, (0.0,) * 4)
-    own = {1: evidence(tv - 1, cv, n_toxic - 1, n_clean), 0: evidence(tv, np.maximum(cv - 1, 0), n_toxic, n_clean - 1)} if len(keys) else {}
-    held = {label: {int(k): float(v) for k, v in zip(keys, values, strict=True)} for label, values in own.items()}
-    # only the documents' hits in the lexicon come to the driver
-    lexicon = documents.sparkSession.createDataFrame([(int(k),) for k in keys], "key long")
-    hits = rows.join(F.broadcast(lexicon), "key", "left_semi").groupBy("id", "label").agg(F.collect_set(F.struct("word", "key")).alias("keys"))
-    found = rows.groupBy("id", "label").count().join(hits, ["id", "label"], "left").select("id", "label", "keys").collect()
-    found.sort(key=lambda r: (r["id"], r["label"]))
-
-    def by_word(row) -> list[float]:
-        best: dict[int, float] = {}
-        for word, key in row["keys"] or ():
-            best[word] = max(best.get(word, 0.0), held[row["label"]][key])
-        return [v for v in best.values() if v > 0]
-
-    x = np.array([scorer.summary(by_word(r)) for r in found])
-    return Scorer(scorer.lexicon, fit_weights(x, np.array([r["label"] for r in found], float)))
+    keys = [r["key"] for r in table]
+    t, c = np.array([r["toxic"] for r in table], float), np.array([r["all"] - r["toxic"] for r in table], float)
+
+    def lexicon(values: np.ndarray) -> dict[int, float]:
+        return {k: v for k, v in zip(keys, values.tolist(), strict=True) if v > 0}
+
+    scorer = Scorer(lexicon(evidence(t, c, n_toxic, n_clean)), (0.0,) * 4)
+    without = {1: lexicon(evidence(t - 1, c, n_toxic - 1, n_clean)), 0: lexicon(evidence(t, np.maximum(c - 1, 0), n_toxic, n_clean - 1))}
+    shared = documents.sparkSession.sparkContext.broadcast((model, scorer, without))
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scorer, without = shared.value
+        weigh = {label: Weigher(model, values) for label, values in without.items()}
+        for batch in batches:
+            rows = [(label.as_py(), *scorer.summary(weigh[int(label.as_py() == 1)].of_text(text.as_py()))) for label, text in zip(*batch.columns, strict=True)]
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names=["label", "a", "b", "c"])
+
+    found = sorted(tuple(r) for r in chosen.mapInArrow(summaries, "label int, a double, b double, c double").collect())
+    return Scorer(scorer.lexicon, fit_weights(np.array([r[1:] for r in found]), np.array([float(r[0] == 1) for r in found])))
 
 
 def score(documents: DataFrame, model: np.ndarray, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per row; a null text scores as an empty one. Other columns are not read."""
-    shared = documents.sparkSession.sparkContext.broadcast((model, scorer))  # fixed size: the model and at most LEXICON words
+    shared = documents.sparkSession.sparkContext.broadcast((model, scorer))  # the model has a fixed size, the scorer at most LEXICON words
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
-        restorer = Restorer(model)
-        lexicon = scorer.lexicon
-        values: dict[str, tuple[tuple[str, float], ...]] = {}
-
-        def weighed(words) -> tuple[tuple[str, float], ...]:
-            """Words of the lexicon with the strongest evidence among their keys."""
-            pairs = ((w, max(lexicon.get(k, 0.0) for k in word_keys(w))) for w in words if w)
-            return tuple(p for p in pairs if p[1])
-
+        weigh = Weigher(model, scorer.lexicon)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                text = (text.as_py() or "").lower()
-                tokens = set(text.split())
-                for token in tokens - values.keys():
-                    values[token] = weighed(restorer.words(token))
-                found: dict[str, float] = {}
-                for token in tokens:
-                    found.update(values[token])
-                for spaced in _SPACED.findall(text):
-                    found.update(weighed(restorer.spaced(spaced)))
-                out.append(scorer.score(scorer.summary(list(found.values()))))
-                if len(values) > REMEMBERED:
-                    values.clear()
+            out = [scorer.score(scorer.summary(weigh.of_text(text.as_py()))) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     kind = documents.schema[id_col].dataType.simpleString()
