@@ -50,10 +50,10 @@ class _Memory:
 
     def lookup(self, words: set[str]) -> dict[str, bytes]:
         """A dictionary that has at least ``words``."""
-        missing = words - self.recent.keys()
+        missing = [w for w in words if w not in self.recent]
         if len(self.recent) + len(missing) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-            missing = words
+            missing = list(words)
         new = []
         for word in missing:
             known = self.older.get(word)

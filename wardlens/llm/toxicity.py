@@ -285,8 +285,9 @@ class Weigher:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for token in tokens - known.keys():
-            known[token] = self.weighed(self.restorer.words(token, keep=False))
+        for token in tokens:
+            if token not in known:
+                known[token] = self.weighed(self.restorer.words(token, keep=False))
         found: dict[str, float] = {}
         for token in tokens:
             if known[token]:
