@@ -111,3 +111,9 @@ def test_hot_keys_stay_a_plan_when_there_are_many(spark, monkeypatch):
     monkeypatch.setattr(session, "HOT_KEYS_ON_DRIVER", 3)
     assert session.hot_keys(df, ["k"], 5).count() == 10
     assert session.hot_keys(df, ["k"], 50) is None
+
+
+def test_join_grouped_tells_keys_apart(spark):
+    left = spark.createDataFrame([("x|", "y"), ("x", "|y")], "a string, b string")
+    grouped = spark.createDataFrame([("x", "|y", 1)], "a string, b string, n int")
+    assert [tuple(r) for r in R.join_grouped(left, grouped, ["a", "b"]).collect()] == [("x", "|y", 1)]

@@ -61,7 +61,8 @@ def join_grouped(left: DataFrame, grouped: DataFrame, keys: Sequence[str], how:
     for that exchange; one narrow row per key moves.
     """
     parts = [F.col(k).cast("string") for k in keys]
-    key = F.concat(*[x for p in parts for x in (p, F.lit("|"))])
+    # each part with its length in front, so that no two key tuples read alike
+    key = F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit("|"), p)])
     left = left.withColumn("join_key", key)
     grouped = grouped.withColumn("join_key", key).drop(*keys)
     if how == "left_semi":
