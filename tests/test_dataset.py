@@ -21,17 +21,11 @@ def test_two_labels_make_two_rows(spark):
     assert sorted((r["text"], r["label"]) for r in rows) == [("a,b", 0), ("a,b", 1)]
 
 
-def test_a_subject_with_most_rows_is_cut_and_stays_whole(spark):
-    rows = [(1, h, 100 * h + i, f"<{h}.{i}>", int(h == 3)) for h in range(4) for i in range(3)]
-    rows += [(1, 9, 900 + i, f"<9.{i}>", 0) for i in range(8)] + [(2, 1, 5000, "x", 0), (2, 2, 5001, "y", 1)]
-    df = spark.createDataFrame(rows, NOTES)
-    found = D.patient_documents(df, piece_limit=5).collect()
-    assert max(r["n_notes"] for r in found) <= 5
-    pieces = [r for r in found if r["subject_id"] == 1]
-    whole = "".join(r["text"] for r in sorted(pieces, key=lambda r: (r["first_hadm_id"], r["text"])))
-    assert whole == "".join(t for _, _, _, t, _ in sorted(rows[:20], key=lambda r: (r[1], r[2])))
-    assert {r["label"] for r in pieces} == {1}
-    assert [r["text"] for r in found if r["subject_id"] == 2] == ["xy"]
+def test_a_subject_of_any_size_is_one_document(spark):
+    rows = [(1, i // 7, 7 * i, f"<{i}>", int(i == 3)) for i in range(5000)]
+    rows += [(2, 1, 5000, "x", 0), (2, 2, 5001, "y", 1), (None, 1, 1, "no subject", 1)]
+    found = {r["subject_id"]: (r["n_notes"], r["text"], r["label"]) for r in D.patient_documents(spark.createDataFrame(rows, NOTES)).collect()}
+    assert found == {1: (5000, "".join(f"<{i}>" for i in range(5000)), 1), 2: (2, "xy", 1)}
 
 
 def test_split_is_stable_and_has_the_wanted_shares(spark):

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date
 
 import pytest
@@ -48,24 +49,19 @@ def test_all_null_codes_are_neither_positive_nor_negative(dx):
     assert found[14] is None and found[15] is False and found[13] is True
 
 
-def test_code_lists_in_pieces_hold_every_code(spark):
-    rows = [(1, 10, i, f"c{i:03d}") for i in range(50)] + [(1, 10, 7, f"d{i:03d}") for i in range(30)] + [(2, 20, 1, "x"), (2, 20, 2, "y")]
-    df = spark.createDataFrame(rows, DX)
-    found = R.code_lists(df, ["seq_num"], list_limit=20).collect()
-    small = [r for r in found if r["hadm_id"] == 20]
-    assert [r["icd9_code_list"] for r in small] == ["x,y"]
-    large = sorted((r["first_seq"], r["icd9_code_list"]) for r in found if r["hadm_id"] == 10)
-    assert sorted(",".join(text for _, text in large).split(",")) == sorted(r[3] for r in rows[:80])
-    assert max(len(text.split(",")) for _, text in large) <= 20
-    assert sorted(seq for seq, _ in large) == [seq for seq, _ in large]
-
-
-def test_flags_of_a_large_admission_need_no_list(spark):
-    rows = [(1, 10, i, "001") for i in range(50)] + [(1, 10, 60, "4280"), (2, 20, 1, "4280")]
-    found = R.admission_flags(spark.createDataFrame(rows, DX), "428", ["seq_num"], with_list=True, list_limit=20)
-    by = {r["hadm_id"]: r for r in found.collect()}
-    assert (by[10]["detected_flag"], by[10]["icd9_code_list"], by[10]["n_codes"]) == (1, None, 51)
-    assert (by[20]["detected_flag"], by[20]["icd9_code_list"]) == (0, "4280")
+def test_an_admission_of_any_size_is_one_list(spark):
+    n = 100_001
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("subject_id"), F.lit(10).cast("long").alias("hadm_id"),
+        (F.lit(n - 1) - F.col("id")).cast("int").alias("seq_num"), F.concat(F.lit("c"), F.col("id")).alias("icd9_code"),
+    )
+    df = rows.unionByName(spark.createDataFrame([(2, 20, 1, "4280"), (2, 20, 2, "x"), (1, 10, n, "4281"), (1, 10, 3, None)], DX))
+    whole = ",".join([f"c{i}" for i in reversed(range(n))] + ["4281"])
+    lists = {r["hadm_id"]: (r["first_seq"], r["icd9_code_list"]) for r in R.code_lists(df, ["seq_num"]).collect()}
+    assert lists == {10: (0, whole), 20: (1, "4280,x")}
+    found = {r["hadm_id"]: r for r in R.admission_flags(df, "428", ["seq_num"], with_list=True).collect()}
+    assert (found[10]["detected_flag"], found[10]["icd9_code_list"], found[10]["n_codes"]) == (1, whole, n + 1)
+    assert (found[20]["detected_flag"], found[20]["icd9_code_list"]) == (0, "4280,x")
 
 
 @pytest.fixture
@@ -104,13 +100,9 @@ def test_one_admission_can_count_for_both_groups(tables):
     assert not days[3]["is_positive"] and days[3]["negative_days"] == 1
 
 
-def test_hot_keys_stay_a_plan_when_there_are_many(spark, monkeypatch):
-    import wardlens.session as session
-
-    df = spark.range(100).select((F.col("id") % 10).alias("k"))
-    monkeypatch.setattr(session, "HOT_KEYS_ON_DRIVER", 3)
-    assert session.hot_keys(df, ["k"], 5).count() == 10
-    assert session.hot_keys(df, ["k"], 50) is None
+def test_negative_notes_carry_code_list_and_hash(tables):
+    row = C.negative_notes(tables, "428").first()
+    assert row["hashing"] == hashlib.md5(b"3").hexdigest() and row["icd9_code_list"] == "001"
 
 
 def test_join_grouped_tells_keys_apart(spark):

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import hash_bucket, words
-from wardlens.session import hot_keys
-
-# A subject with more notes than this gets its document in pieces.
-NOTES_PER_DOCUMENT = 4096
-
 
 def patient_documents(
     notes: DataFrame,
@@ -21,41 +16,22 @@ def patient_documents(
     key: str = "subject_id",
     order: Sequence[str] = ("hadm_id", "row_id"),
     text: str = "clean_text",
-    piece_limit: int = NOTES_PER_DOCUMENT,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Texts of each key joined in order, with its label: (key, first_<order[0]>, n_notes, text, label).
 
-    ``label_mode='max'`` gives the highest label, ``'distinct'`` a row per distinct label, None no label.
-
-    A key with more than ``piece_limit`` notes is cut at the values of the first order column, and a value
-    that alone has more is cut note by note. So no row collects more than the limit, every note is in exactly
-    one piece, and the pieces of a key read by ``first_...`` are the whole document. ``counted`` may name a
-    cheaper table whose rows per key are at least as many, to find the large keys from.
+    ``label_mode='max'`` gives the highest label, ``'distinct'`` a row per distinct label, None no label. Notes
+    without a key belong to no document. A key is one document whatever its size; the job fails where a text
+    exceeds what a cell can hold. Where no whole text is needed, work on the note rows instead.
     """
-    first, name = order[0], f"first_{order[0]}"
+    first = order[0]
     entries = F.array_sort(F.collect_list(F.struct(*order, text)))
-    joined = F.array_join(F.transform(entries, lambda e: e[text]), sep).alias("text")
-    n_notes = F.count(F.lit(1)).alias("n_notes")
     label = {"max": [F.max("label").alias("label")], "distinct": [F.collect_set("label").alias("label")], None: []}[label_mode]
-
-    counted = notes if counted is None else counted
-    big = hot_keys(counted.filter(F.col(key).isNotNull()), [key], piece_limit)
-    small = notes if big is None else notes.join(big, key, "left_anti")
-    result = small.groupBy(key).agg(F.min(first).alias(name), n_notes, joined, *label)
-    if big is not None:
-        rest = notes.join(big, key, "left_semi")
-        huge = hot_keys(counted.join(big, key, "left_semi"), [key, first], piece_limit)
-        cut = rest if huge is None else rest.join(huge, [key, first], "left_anti")
-        pieces = cut.groupBy(key, F.col(first).alias(name)).agg(n_notes, joined)
-        if huge is not None:
-            single = rest.join(huge, [key, first], "left_semi").select(
-                key, F.col(first).alias(name), F.lit(1).cast("bigint").alias("n_notes"), F.col(text).alias("text")
-            )
-            pieces = pieces.unionByName(single)
-        if label:
-            pieces = pieces.join(rest.groupBy(key).agg(*label), key)
-        result = result.unionByName(pieces)
+    result = notes.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(first).alias(f"first_{first}"),
+        F.count(F.lit(1)).alias("n_notes"),
+        F.array_join(F.transform(entries, lambda e: e[text]), sep).alias("text"),
+        *label,
+    )
     if label_mode == "distinct":
         result = result.withColumn("label", F.explode("label"))
     return result

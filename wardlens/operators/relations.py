@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import stable_hash, starts_with_code
-from wardlens.session import hot_keys
-
-# An admission with more codes than this gets its code list in pieces.
-CODES_PER_LIST = 100_000
-
 
 # --- filters and projections -------------------------------------------------------------------------------
 
@@ -97,8 +92,6 @@ def admission_flags(
     order: Sequence[str],
     mode: str = "reference",
     with_list: bool = False,
-    list_limit: int = CODES_PER_LIST,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (subject_id, hadm_id): n_codes, detected flag and, on request, the ordered code list.
 
@@ -107,9 +100,7 @@ def admission_flags(
     number of matches and the first code decide, so the state per admission is a few values and admissions of
     any size aggregate on the map side.
 
-    The list itself is a cell. Admissions with more than ``list_limit`` codes get NULL there, and
-    ``code_lists`` gives their codes in pieces. ``counted`` may name a cheaper table with at least as many rows
-    per admission, to find those admissions from.
+    The list is one cell whatever the admission's size; the job fails where it exceeds what a cell can hold.
     """
     keys = ["subject_id", "hadm_id"]
     code = F.col("icd9_code")
@@ -120,15 +111,9 @@ def admission_flags(
         F.count_if(match).alias("n_match"),
         first.alias("first_code"),
     ]
-    if not with_list:
-        grouped = diagnoses.groupBy(*keys).agg(*counts)
-    else:
-        big = hot_keys(diagnoses if counted is None else counted, keys, list_limit)
-        small = diagnoses if big is None else diagnoses.join(big, keys, "left_anti")
-        grouped = small.groupBy(*keys).agg(*counts, _ordered_list(order).alias("icd9_code_list"))
-        if big is not None:
-            rest = diagnoses.join(big, keys, "left_semi").groupBy(*keys).agg(*counts)
-            grouped = grouped.unionByName(rest.withColumn("icd9_code_list", F.lit(None).cast("string")))
+    if with_list:
+        counts.append(_ordered_list(order).alias("icd9_code_list"))
+    grouped = diagnoses.groupBy(*keys).agg(*counts)
 
     matches = F.col("n_match")
     if mode == "reference":
@@ -145,33 +130,12 @@ def _ordered_list(order: Sequence[str]) -> Column:
     return F.when(F.count("icd9_code") > 0, text)
 
 
-def code_lists(diagnoses: DataFrame, order: Sequence[str], list_limit: int = CODES_PER_LIST) -> DataFrame:
-    """The ordered code list of each admission: (subject_id, hadm_id, first_seq, icd9_code_list).
-
-    An admission with more than ``list_limit`` codes is cut at its sequence numbers, one row per number, and a
-    number that alone holds more than the limit is left as one row per code. No row collects more than the
-    limit, and reading the rows of an admission by ``first_seq`` gives the whole list.
-    """
-    keys = ["subject_id", "hadm_id"]
-    seq = order[0]
-    diagnoses = diagnoses.filter(F.col("icd9_code").isNotNull())
-    listed = _ordered_list(order).alias("icd9_code_list")
-    out_columns = [*keys, "first_seq", "icd9_code_list"]
-    big = hot_keys(diagnoses, keys, list_limit)
-    small = diagnoses if big is None else diagnoses.join(big, keys, "left_anti")
-    result = small.groupBy(*keys).agg(F.min(seq).alias("first_seq"), listed)
-    if big is None:
-        return result.select(*out_columns)
-    rest = diagnoses.join(big, keys, "left_semi")
-    huge = hot_keys(rest, [*keys, seq], list_limit)
-    cut = rest if huge is None else rest.join(huge, [*keys, seq], "left_anti")
-    result = result.unionByName(cut.groupBy(*keys, F.col(seq).alias("first_seq")).agg(listed))
-    if huge is not None:
-        single = rest.join(huge, [*keys, seq], "left_semi")
-        result = result.unionByName(
-            single.select(*keys, F.col(seq).alias("first_seq"), F.col("icd9_code").alias("icd9_code_list"))
-        )
-    return result.select(*out_columns)
+def code_lists(diagnoses: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The ordered code list of each admission: (subject_id, hadm_id, first_seq, icd9_code_list)."""
+    coded = diagnoses.filter(F.col("icd9_code").isNotNull())
+    return coded.groupBy("subject_id", "hadm_id").agg(
+        F.min(order[0]).alias("first_seq"), _ordered_list(order).alias("icd9_code_list")
+    )
 
 
 def has_code(diagnoses: DataFrame, key: str, prefix: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import starts_with_code, strip_commas, strip_redactions
+from wardlens.functions.scalars import stable_hash, starts_with_code, strip_commas, strip_redactions
 from wardlens.operators import relations as R
 from wardlens.sources.tables import Tables
 
@@ -149,7 +149,7 @@ def cohort_admissions(
     Diagnoses are folded to one row per admission before they meet the admissions table.
     """
     codes = R.restrict_subjects(R.known_codes(t.diagnoses, t.dictionary), subjects)
-    flags = R.admission_flags(codes, prefix, t.code_order, mode, with_list, counted=t.diagnoses)
+    flags = R.admission_flags(codes, prefix, t.code_order, mode, with_list)
     return t.admissions.join(flags, ["subject_id", "hadm_id"])
 
 
@@ -235,19 +235,20 @@ def negative_notes(
     prefix: str,
     category: str = NOTE_CATEGORY,
     mode: str = "reference",
-    limit: int = NEGATIVE_LIMIT,
-    with_list: bool = False,
+    limit: int | None = NEGATIVE_LIMIT,
+    with_list: bool = True,
 ) -> DataFrame:
-    """Cleaned notes of negative subjects; ``limit`` admissions, taken in the order of the subject's hash."""
-    admissions = cohort_admissions(t, negative_subjects(t, prefix), prefix, mode, with_list)
-    kept = R.hash_sample(admissions.filter(F.col("detected_flag") == 0), "subject_id", ["hadm_id"], limit)
-    return _notes_of(kept, t, category)
+    """Cleaned notes of negative subjects with the subject's hash; ``limit`` admissions in its order, None for all."""
+    kept = cohort_admissions(t, negative_subjects(t, prefix), prefix, mode, with_list).filter(F.col("detected_flag") == 0)
+    if limit is not None:
+        kept = R.hash_sample(kept, "subject_id", ["hadm_id"], limit)
+    return _notes_of(kept.withColumn("hashing", stable_hash("subject_id")), t, category)
 
 
-def cohort_notes(t: Tables, prefix: str, limit: int = NEGATIVE_LIMIT) -> DataFrame:
-    """Positive and negative notes with their label."""
+def cohort_notes(t: Tables, prefix: str, limit: int | None = None) -> DataFrame:
+    """Positive and negative notes with their label; all negative admissions unless a limit is given."""
     columns = ["subject_id", "hadm_id", "row_id", "clean_text", "label"]
     return R.union_cohorts(
         R.with_label(positive_notes(t, prefix, with_list=False), 1).select(*columns),
-        R.with_label(negative_notes(t, prefix, limit=limit), 0).select(*columns),
+        R.with_label(negative_notes(t, prefix, limit=limit, with_list=False), 0).select(*columns),
     )

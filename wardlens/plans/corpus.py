@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions import lexicon
@@ -18,7 +18,6 @@ FUZZY_TERMS = ["the", "of the", "thingtion", "ingthere", "anderstion", "hetherat
 KEYWORDS = ["tion", "ble", "was"]
 LEMMAS = {"tion": "ation", "ing": "ation", "ble": "able", "the": "that"}
 VECTOR_WIDTH = 64
-VECTOR_WORDS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +35,21 @@ def terms(spark: SparkSession, listed: Sequence[str] = TERMS) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Primary and fallback vectors of the most frequent corpus tokens, rank by rank from the embeddings table."""
+    """Primary and fallback vectors of the most frequent corpus tokens, rank by rank from the embeddings table.
+
+    Ranks are places within range partitions plus the rows of the partitions before, so no task sees all words.
+    """
     counts = V.token_counts(documents(spark, sf_dir), "doc_id", S.words(F.lower("text")), ())
     totals = counts.groupBy("token").agg(F.sum("tf").alias("cf"))
-    top = totals.orderBy(F.desc("cf"), F.asc("token")).limit(VECTOR_WORDS)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("cf")).alias("negative"), "token"))).alias("e")).select(
-        F.posexplode("e").alias("vec_id", "e")
-    ).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("e.token").alias("token"))
+    ranges = totals.repartitionByRange(F.desc("cf"), F.asc("token")).withColumn("part", F.spark_partition_id())
+    # written once: range bounds come from a sample and may differ in a second run
+    ranges = materialize(ranges, "word-ranges")
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("cf"), F.asc("token")))
+    ranked = ranges.withColumn("place", place).join(before, "part").select(
+        (F.col("before") + F.col("place") - 1).cast("bigint").alias("vec_id"), "token"
+    )
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     both = materialize(ranked.join(vectors, "vec_id"), "word-vectors")
     return (
@@ -139,7 +146,7 @@ WORD_VECTORS_SQL = [
     f"""
 ranked_words as (
   select token, row_number() over (order by cf desc, token) - 1 as vec_id
-  from (select token, sum(tf) as cf from vector_counts group by 1 order by cf desc, token limit {VECTOR_WORDS}))""",
+  from (select token, sum(tf) as cf from vector_counts group by 1))""",
     """
 word_vectors as (
   select r.token, e.embedding as vec from ranked_words r join embeddings e on r.vec_id = e.vec_id)""",

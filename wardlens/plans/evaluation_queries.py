@@ -280,13 +280,12 @@ def notes_through_csv(spark: SparkSession, sf: str) -> DataFrame:
     with_views(*COHORT_NOTES_SQL) + "select subject_id, hadm_id, row_id, clean_text, label from cohort_notes",
 )
 def cohort_through_csv(spark: SparkSession, sf: str) -> DataFrame:
-    from wardlens.plans.cohort_queries import TEST_NEGATIVE_LIMIT
 
     t = load_tables(spark, sf)
     path = scratch_path(spark, "cohort-csv")
     columns = ["subject_id", "hadm_id", "row_id", "clean_text"]
     files.write_csv(C.positive_notes(t, PREFIX, with_list=False).select(*columns), f"{path}/positive")
-    files.write_csv(C.negative_notes(t, PREFIX, limit=TEST_NEGATIVE_LIMIT).select(*columns), f"{path}/negative")
+    files.write_csv(C.negative_notes(t, PREFIX, limit=None, with_list=False).select(*columns), f"{path}/negative")
     return files.read_cohort_csv(spark, f"{path}/positive", f"{path}/negative")
 
 

@@ -12,7 +12,7 @@ from wardlens.operators import features as V
 from wardlens.operators import text as T
 from wardlens.plans import cohorts as C
 from wardlens.plans import corpus as K
-from wardlens.plans.cohort_queries import CLEAN_SQL, COHORT_NOTES_SQL, PREFIX, TEST_NEGATIVE_LIMIT
+from wardlens.plans.cohort_queries import CLEAN_SQL, COHORT_NOTES_SQL, PREFIX
 from wardlens.plans.registry import query, with_ctes, with_views
 from wardlens.sources.tables import load_tables
 
@@ -434,7 +434,7 @@ def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- patient documents -------------------------------------------------------------------------------------
 
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return C.cohort_notes(load_tables(spark, sf), PREFIX, limit=TEST_NEGATIVE_LIMIT)
+    return C.cohort_notes(load_tables(spark, sf), PREFIX)
 
 
 PATIENT_SQL = """
@@ -449,7 +449,7 @@ patient_documents as (
     with_views(*COHORT_NOTES_SQL, PATIENT_SQL) + "select * from patient_documents",
 )
 def patient_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return D.patient_documents(cohort(spark, sf), counted=load_tables(spark, sf).notes)
+    return D.patient_documents(cohort(spark, sf))
 
 
 @query(
@@ -463,7 +463,7 @@ join (select distinct subject_id, label from cohort_notes) l on t.subject_id = l
 )
 def patient_documents_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = cohort(spark, sf).withColumn("clean_text", T.clean_for_embedding(F.col("clean_text"), lemmas=K.LEMMAS))
-    return D.patient_documents(cleaned, sep=",", label_mode="distinct", counted=load_tables(spark, sf).notes)
+    return D.patient_documents(cleaned, sep=",", label_mode="distinct")
 
 
 @query(
@@ -478,7 +478,7 @@ def max_label_per_subject(spark: SparkSession, sf: str) -> DataFrame:
     "note_texts_per_admission", "A14 A15",
     with_views() + """
 select hadm_id, min(row_id) as first_row_id, count(*) as n_notes, string_agg(text, ',' order by row_id) as text
-from noteevents group by 1""",
+from noteevents where hadm_id is not null group by 1""",
 )
 def note_texts_per_admission(spark: SparkSession, sf: str) -> DataFrame:
     return D.patient_documents(
@@ -509,7 +509,7 @@ def split_documents(spark: SparkSession, sf: str) -> DataFrame:
 select subject_id, label, {SPLIT_SQL.format('subject_id')} as split from patient_documents""",
 )
 def split_patients(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.patient_documents(cohort(spark, sf), counted=load_tables(spark, sf).notes)
+    found = D.patient_documents(cohort(spark, sf))
     return D.split_dataset(found, "subject_id").select("subject_id", "label", "split")
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every plan relies on; all can be changed on a running session.
 RUNTIME_CONF = {
@@ -19,9 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.unionOutputPartitioning": "false",
 }
 
-# Keys held by more rows than this are handled apart; at most this many are ever looked up on the driver.
-HOT_KEYS_ON_DRIVER = 10_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -74,22 +70,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
-def hot_keys(counted: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """The keys held by more than ``limit`` rows of ``counted``; None when there are none.
-
-    One map-side-combined count over the key columns alone. Up to HOT_KEYS_ON_DRIVER keys come back as a
-    literal relation, whose known size lets Catalyst broadcast it; beyond that the keys stay a plan and
-    joins with them shuffle.
-    """
-    over = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > limit).select(*keys)
-    rows = over.limit(HOT_KEYS_ON_DRIVER + 1).collect()
-    if not rows:
-        return None
-    if len(rows) <= HOT_KEYS_ON_DRIVER:
-        return counted.sparkSession.createDataFrame(rows, schema=over.schema)
-    return over
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name for files that several executors read, under the checkpoint folder."""
     ensure_checkpoint_dir(spark)
