@@ -424,7 +424,8 @@ def repeated_spans(
     # named wherever the texts are exchanged, so that one exchange serves all
     more = ["carried"] if carry else []
     found = stored(texts.select("id", "mark", "text").mapInArrow(_find_anchors, "id long, mark long, place long, gram long"), "anchors")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > 1)
+    # written, so that the join has an exchange on both sides and the rows of a frequent gram can be split
+    grams = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > 1), "grams")
     hot = F.col("held") > hot_gram
     again = stored(
         found.join(grams, "gram").groupBy("id", "mark").agg(
