@@ -400,7 +400,9 @@ def _hot_spans(around: DataFrame) -> DataFrame:
     strings = distinct.select("case", "before", "around", "held").mapInArrow(_strings, "string binary, case binary, distance long, held long")
     # a string with several anchors is met at each of them, at another distance
     again = strings.groupBy("string", "distance").agg(F.sum("held").alias("n")).filter(F.col("n") > 1).select("string", "distance")
-    spans = strings.join(again, ["string", "distance"]).groupBy("case").agg(F.min("distance").alias("near"), F.max("distance").alias("far"))
+    # both written: an aggregate directly below a join would tie it to one task a key, and one case may be met everywhere
+    again = stored(again, "hot_strings")
+    spans = stored(strings.join(again, ["string", "distance"]).groupBy("case").agg(F.min("distance").alias("near"), F.max("distance").alias("far")), "hot_spans")
     return cases.select("case", "id", "mark", "place").join(spans, "case").select(
         "id", "mark", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + WINDOW).alias("stop")
     )
