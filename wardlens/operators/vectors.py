@@ -162,12 +162,13 @@ def min_max(
 ) -> DataFrame:
     """Scale each feature to 0..1 from its least and greatest value, implicit zeros included.
 
-    ``documents`` has (key, split). ``fit='per_split'`` takes the range of the document's own split,
-    ``'train'`` that of the training split. A constant feature gives 0. Triples that are absent stay absent,
-    which is right for features whose least value is 0 or more; blocks with negative values must be dense.
+    ``documents`` has (key, split); triples that carry their split are not joined with it. ``fit='per_split'`` takes
+    the range of the document's own split, ``'train'`` that of the training split. A constant feature gives 0. Triples
+    that are absent stay absent, which is right for features whose least value is 0 or more; blocks with negative
+    values must be dense.
     """
     sizes = documents.groupBy("split").agg(F.count_distinct(key).alias("n_docs"))
-    placed = triples.join(documents.select(key, "split"), key)
+    placed = triples if "split" in triples.columns else triples.join(documents.select(key, "split"), key)
     ranges = placed.groupBy("split", "idx").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n_stored")
     ).join(F.broadcast(sizes), "split")

@@ -12,7 +12,7 @@ from wardlens.operators import features as V
 from wardlens.operators import relations as R
 from wardlens.operators import vectors as W
 from wardlens.plans import corpus as K
-from wardlens.plans.registry import query, with_ctes, with_views
+from wardlens.plans.registry import materialized, query, with_ctes, with_views
 from wardlens.plans.text_queries import LCS_SQL, SPLIT_SQL
 from wardlens.plans.text_queries import notes as note_texts
 from wardlens.session import materialize
@@ -403,17 +403,17 @@ from placed p left join ranges r on {match}"""
 
 def _scaled(spark: SparkSession, sf: str, fit: str) -> DataFrame:
     triples, names = feature_matrix(spark, sf)
-    triples = materialize(triples, "triples")
+    triples = materialize(D.split_dataset(triples, "doc_id"), "triples")
     docs = D.split_dataset(K.documents(spark, sf), "doc_id").select("doc_id", "split")
     return W.min_max(triples, docs, "doc_id", fit, len(names)).withColumn("value", r6("value"))
 
 
-@query("scaled_matrix", "V14", with_ctes(*MATRIX_SQL) + scaled_sql("per_split"))
+@query("scaled_matrix", "V14", materialized(with_ctes(*MATRIX_SQL) + scaled_sql("per_split")))
 def scaled_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _scaled(spark, sf, "per_split")
 
 
-@query("scaled_matrix_by_train", "V14", with_ctes(*MATRIX_SQL) + scaled_sql("train"))
+@query("scaled_matrix_by_train", "V14", materialized(with_ctes(*MATRIX_SQL) + scaled_sql("train")))
 def scaled_matrix_by_train(spark: SparkSession, sf: str) -> DataFrame:
     return _scaled(spark, sf, "train")
 

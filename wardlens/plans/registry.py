@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,8 @@ def with_views(*ctes: str) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def materialized(sql: str) -> str:
+    """The same SQL with each common table expression (one that starts a line) run once, however often it is named."""
+    return re.sub(r"(?m)^(with |, )?(\w+) as \(", r"\1\2 as materialized (", sql)
