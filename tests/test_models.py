@@ -123,3 +123,45 @@ def test_a_document_in_pieces_is_one_row_of_the_matrix(spark):
         assert matrix.rows.count() == 10
         found.append(values)
     assert found[0] == found[1]
+
+
+def test_registered_queries_use_the_reference_settings(monkeypatch):
+    from wardlens.plans import model_queries as Q
+
+    c = Q.CONFIG
+    assert (c.max_features, c.rounds, c.topic_passes, c.svm_iterations, len(c.alphas)) == (10_000, 100, 10, 1000, 30)
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(name):
+        def call(*args, **named):
+            seen[name] = args[1:], named
+            raise Stop
+
+        return call
+
+    monkeypatch.setattr(Q, "cleaned", lambda spark, sf: "docs")
+    monkeypatch.setattr(Q, "vectors", lambda spark, sf: "vectors")
+    for name in ("run_experiment", "sweep", "sweep_and_rerun"):
+        monkeypatch.setattr(X, name, stop(name))
+    for build in (Q.experiment_metrics, Q.tuning_sweep, Q.tuning_rerun):
+        with pytest.raises(Stop):
+            build(None, "")
+    assert seen["run_experiment"][0][1:3] == (X.SWEEP[0], "vectors")
+    assert seen["sweep"][0][1:3] == seen["sweep_and_rerun"][0][1:3] == (X.SWEEP, "vectors")
+
+
+def test_registered_adaboost_grid_is_whole(spark, monkeypatch):
+    from wardlens.plans import model_queries as Q
+
+    docs = spark.createDataFrame([(i, f"heart w{i}", i % 2, "train") for i in range(12)], "doc_id long, text string, label int, split string")
+    seen = []
+    monkeypatch.setattr(Q, "cleaned", lambda spark, sf: docs)
+    monkeypatch.setattr(adaboost, "fit_adaboost_grid", lambda rows, *args, **named: seen.append((rows, args, named)) or (None, None))
+    monkeypatch.setattr(Q.CONFIG.__class__, "max_features", 5)
+    Q.adaboost_grid(spark, "")
+    rows, args, named = seen[0]
+    assert args[1:] == ((2, 4, 6, 8, 10), (5, 10), (10, 50, 250, 1000), (0.001, 0.01, 0.1)) and not named
+    assert rows.first()["features"].size == 13

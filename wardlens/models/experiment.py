@@ -32,7 +32,7 @@ class Config:
     topic_passes: int = 10
     topic_batches: int = 10
     alphas: Sequence[float] = field(default=linear.ALPHAS)
-    svm_iterations: int = 100
+    svm_iterations: int = 1000
     fit_splits: tuple[str, ...] = ("train", "val")
     scale: str = "per_split"
 

@@ -26,14 +26,8 @@ from wardlens.sources import files
 
 T_ = TypeVar("T_")
 
-CONFIG = X.Config(max_features=300, topics=5, rounds=10, topic_passes=2, topic_batches=5, svm_iterations=10)
-SHORT_GRID = (0.00001, 0.0001, 0.001, 0.01)
-SMALL_SWEEP = [
-    X.Config(max_features=200, topics=3, eta=0.1, patience=3, rounds=5, topic_passes=1, topic_batches=5,
-             alphas=(0.0001, 0.01), svm_iterations=10),
-    X.Config(max_features=300, topics=5, eta=0.3, patience=5, rounds=5, topic_passes=1, topic_batches=5,
-             alphas=(0.0001, 0.01), svm_iterations=10),
-]
+# The first configuration of the reference's sweep, which the queries of a single model use.
+CONFIG = X.SWEEP[0]
 
 # Written tables and fitted models that several queries of one session read.
 _SHARED: dict[tuple[str, str, str], object] = {}
@@ -137,21 +131,27 @@ def top_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return boosted.top_features(boosted.split_count_importance(found.model, rows, names), 25)
 
 
+def _svm(spark: SparkSession, sf: str) -> linear.GridResult:
+    """The whole grid of penalties, fitted once for the queries that read it."""
+
+    def build() -> linear.GridResult:
+        train = matrix(spark, sf).rows.filter(F.col("split") == "train")
+        return linear.fit_svm_grid(train, "doc_id", CONFIG.alphas, max_iter=CONFIG.svm_iterations)
+
+    return shared(spark, sf, "svm", build)
+
+
 @query("svm_grid", "M5")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = matrix(spark, sf).rows
-    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", SHORT_GRID, max_iter=CONFIG.svm_iterations)
-    return spark.createDataFrame(grid.accuracies, "alpha double, accuracy double")
+    return spark.createDataFrame(_svm(spark, sf).accuracies, "alpha double, accuracy double")
 
 
 @query("saved_svm_predictions", "S11 M5 E7")
 def saved_svm_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """The best model of a short grid, saved, loaded and applied."""
-    rows = matrix(spark, sf).rows
-    grid = linear.fit_svm_grid(rows.filter(F.col("split") == "train"), "doc_id", (0.0001, 0.01), folds=2, max_iter=CONFIG.svm_iterations)
+    """The best model of the grid, saved, loaded and applied."""
     path = scratch_path(spark, "svm-model")
-    files.save_model(grid.model, path)
-    scored = LinearSVCModel.load(path).transform(rows)
+    files.save_model(_svm(spark, sf).model, path)
+    scored = LinearSVCModel.load(path).transform(matrix(spark, sf).rows)
     return scored.select("doc_id", "split", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -160,10 +160,13 @@ def adaboost_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Depths and leaf sizes of boosted decision trees over count-based weights, by cross-validation."""
     docs = cleaned(spark, sf)
     counts = V.token_counts(docs, "doc_id", S.vector_tokens("text"))
-    weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), CONFIG.max_features, "doc_id")
-    rows = W.pack_vectors(weights, docs.select("doc_id", "label", "split"), "doc_id", CONFIG.max_features)
-    kept = D.fit_rows(rows).select("doc_id", "label", "features")
-    _, table = adaboost.fit_adaboost_grid(kept, "doc_id", (2, 4), (5,), (1, 3), (0.1,), folds=2)
+    words = counts.select("token").distinct().count()
+    weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), words, "doc_id")
+    rows = W.pack_vectors(weights, docs.select("doc_id", "label", "split"), "doc_id", words)
+    kept = materialize(D.fit_rows(rows).select("doc_id", "label", "features"), "adaboost")
+    _, table = adaboost.fit_adaboost_grid(
+        kept, "doc_id", adaboost.DEPTHS, adaboost.MIN_LEAVES, adaboost.ROUNDS, adaboost.RATES
+    )
     return table
 
 
@@ -189,10 +192,21 @@ def document_vectors_through_parquet(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("experiment_metrics", "M10")
 def experiment_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = X.run_experiment(cleaned(spark, sf), K.TERMS, SMALL_SWEEP[1], vectors(spark, sf), K.VECTOR_WIDTH)
+    metrics = X.run_experiment(cleaned(spark, sf), K.TERMS, CONFIG, vectors(spark, sf), K.VECTOR_WIDTH)
+    return metric_table(spark, metrics)
+
+
+def metric_table(spark: SparkSession, metrics: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(name, float(value)) for name, value in metrics.items()], "metric string, value double")
 
 
 @query("tuning_sweep", "M8 M9")
 def tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return X.sweep(cleaned(spark, sf), K.TERMS, SMALL_SWEEP)
+    return X.sweep(cleaned(spark, sf), K.TERMS, X.SWEEP, vectors(spark, sf), K.VECTOR_WIDTH)
+
+
+@query("tuning_rerun", "M8 M9 M10")
+def tuning_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of another run with the best configuration of the sweep."""
+    _, metrics = X.sweep_and_rerun(cleaned(spark, sf), K.TERMS, X.SWEEP, vectors(spark, sf), K.VECTOR_WIDTH)
+    return metric_table(spark, metrics)
