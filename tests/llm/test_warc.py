@@ -50,6 +50,16 @@ def test_round_trip(spark, tmp_path):
     assert sorted((tuple(r) for r in found.collect()), key=str) == expected(PAGES)
 
 
+def test_repeated_rows(spark):
+    big, mid = "y" * 200_000, "m" * 300
+    pages = [
+        (1, "u", big), (1, "u", big), (None, "u", big), (None, "u", big), (None, "v", "n" * 90_000), (2, "u", big), (2, "u", big),
+        (3, "u", mid), (3, "u", mid), (3, "u", "o" * 80_000), (4, "u", mid), (4, "w", mid), (4, "u", big), (5, "u", "s"), (5, "u", "s"),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.digest(frame).collect()), key=str) == expected(pages)
+
+
 def test_empty_table(spark):
     assert warc.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import scratch
+from wardlens.llm.shared import scratch, stored
 
 #: Bytes of payload in one segment.
 SEGMENT = 1 << 16
@@ -54,8 +54,8 @@ def _header(fields: list[tuple[str, object]]) -> str:
     return "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None)
 
 
-def record_id(page: object, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page}/{segment}')}>"
+def record_id(name: object, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{name}/{segment}')}>"
 
 
 def _one_line(url: str | None) -> str:
@@ -63,17 +63,23 @@ def _one_line(url: str | None) -> str:
 
 
 def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, url, html, digest, refers) -> one WARC record per segment, without the line ends behind it."""
+    """(page, url, html, digest, repeated, refers, certain) -> one WARC record per segment, without the line ends behind it.
+
+    A record is named by its page and digest; rows without an id and repeated rows get a random name. A revisit of a
+    repeated row says which page it refers to, not which record (``certain`` is false).
+    """
     for batch in batches:
         out: list[str] = []
         size = 0
-        for page, url, html, digest, refers in zip(*batch.columns, strict=True):
-            page, refers = page.as_py(), refers.as_py()
+        for page, url, html, digest, repeated, refers, certain in zip(*batch.columns, strict=True):
+            page, refers, digest = page.as_py(), refers.as_py(), digest.as_py()
+            name = uuid.uuid4() if page is None or repeated.as_py() else f"{page}/{digest}"
             base = [("WARC-Target-URI", _one_line(url.as_py())), ("WARC-Date", "1970-01-01T00:00:00Z")]
             if refers is not None:
-                head = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page)), *base, ("Page-ID", page),
+                head = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(name)), *base, ("Page-ID", page),
                         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                        ("WARC-Payload-Digest", f"sha256:{digest.as_py()}"), ("WARC-Refers-To", record_id(refers)), ("Refers-To-Page", refers)]
+                        ("WARC-Payload-Digest", f"sha256:{digest}"),
+                        ("WARC-Refers-To", record_id(f"{refers}/{digest}") if certain.as_py() else None), ("Refers-To-Page", refers)]
                 out.append(_VERSION + _header([*head, ("Content-Length", 0)]) + "\r\n")
                 continue
             data = (html.as_py() or "").encode("utf-8")
@@ -82,10 +88,10 @@ def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for number, part in enumerate(parts, 1):
                 carried.update(part)
                 first, last = number == 1, number == len(parts)
-                head = [("WARC-Type", "response" if first else "continuation"), ("WARC-Record-ID", record_id(page, number)), *base, ("Page-ID", page),
+                head = [("WARC-Type", "response" if first else "continuation"), ("WARC-Record-ID", record_id(name, number)), *base, ("Page-ID", page),
                         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(part).hexdigest()}")]
                 if len(parts) > 1:
-                    head += [("WARC-Segment-Number", number), ("WARC-Segment-Origin-ID", None if first else record_id(page)),
+                    head += [("WARC-Segment-Number", number), ("WARC-Segment-Origin-ID", None if first else record_id(name)),
                              ("WARC-Segment-Total-Length", len(data) if last else None)]
                 if last:
                     head.append(("WARC-Payload-Digest", f"sha256:{carried.hexdigest()}"))
@@ -100,31 +106,38 @@ def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write one WARC record per row (more for oversized payloads) to gzip-compressed archives in folder ``path``.
 
-    Of rows with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the smallest id is a response and
-    the others are revisits of it. A null payload is empty, a null url is ``urn:none``; ids are unique integers,
-    a row with a null id is a response of its own and refers to nothing. Other columns are not read.
+    Of rows with equal payloads of at least ``LEAST_REVISIT`` bytes those with the smallest id are responses and
+    the others are revisits of it. A null payload is empty, a null url is ``urn:none``; ids are integers, repeated ids
+    and repeated rows stay rows, a row with a null id is a response of its own and refers to nothing. Other columns
+    are not read.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("html"))
-    keys = rows.select("page", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
-    keys = keys.filter((F.col("size") >= LEAST_REVISIT) & F.col("page").isNotNull())
-    firsts = keys.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("held")).filter(F.col("held") > 1)
-    revisits = keys.join(firsts, "digest").filter(F.col("page") > F.col("first")).select("page", "digest", F.col("first").alias("refers"))
-    full = rows.join(revisits, "page", "left")
-    # a revisit sends no payload
-    records = full.select("page", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "digest", "refers").mapInArrow(
-        _write_records, "value string"
+    rows = rows.withColumn("digest", F.sha2("html", 256))
+    keys = rows.filter(F.col("page").isNotNull()).select("page", "digest", F.octet_length("html").alias("size"))
+    pairs = keys.groupBy("page", "digest").agg(F.max("size").alias("size"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    firsts = pairs.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(
+        F.min(F.struct("page", "repeated")).alias("first"), F.count(F.lit(1)).alias("held")
+    ).filter(F.col("held") > 1)
+    later = F.col("page") > F.col("first.page")
+    marks = pairs.join(firsts, "digest", "left").filter(F.col("repeated") | later).select(
+        "page", "digest", "repeated", F.when(later, F.col("first.page")).alias("refers"), (~F.col("first.repeated")).alias("certain")
     )
+    full = rows.join(marks, ["page", "digest"], "left")
+    # a revisit sends no payload
+    html = F.when(F.col("refers").isNull(), F.col("html")).alias("html")
+    records = full.select("page", "url", html, "digest", "repeated", "refers", "certain").mapInArrow(_write_records, "value string")
     records.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 _CHUNK = (
     "page long, number int, segmented boolean, record_type string, url string, refers_to long, block_digest string, payload_digest string, "
-    "total_length long, data binary"
+    "total_length long, data binary, record string"
 )
 _FIELDS = {
     "Page-ID": int, "WARC-Segment-Number": int, "WARC-Type": str, "WARC-Target-URI": str, "Refers-To-Page": int, "WARC-Block-Digest": str,
     "WARC-Payload-Digest": str, "WARC-Segment-Total-Length": int, "Content-Length": int,
+    "WARC-Record-ID": str, "WARC-Segment-Origin-ID": str,
 }
 
 
@@ -145,10 +158,11 @@ def parse_record(text: str) -> tuple:
     return (
         found["Page-ID"], number or 1, number is not None, found["WARC-Type"], found["WARC-Target-URI"], found["Refers-To-Page"], block,
         found["WARC-Payload-Digest"], found["WARC-Segment-Total-Length"], data,
+        found["WARC-Segment-Origin-ID"] or found["WARC-Record-ID"],
     )
 
 
-_KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+_KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,25 +183,25 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_record = None
 
     def closed(state: list) -> tuple:
-        page, carried, length, announced, total = state
+        _, page, carried, length, announced, total = state
         if announced != f"sha256:{carried.hexdigest()}" or total != length:
             raise ValueError(f"record of page {page}: its segments do not make up the payload")
         return page, length, carried.hexdigest()
 
     for batch in batches:
         rows = []
-        for page, number, announced, total, data in zip(*batch.columns, strict=True):
-            page, number = page.as_py(), number.as_py()
+        for record, page, number, announced, total, data in zip(*batch.columns, strict=True):
+            record, page, number = record.as_py(), page.as_py(), number.as_py()
             if number == 1:
                 if open_record:
                     rows.append(closed(open_record))
-                open_record = [page, hashlib.sha256(), 0, None, None]
-            elif open_record is None or open_record[0] != page:
+                open_record = [record, page, hashlib.sha256(), 0, None, None]
+            elif open_record is None or open_record[0] != record:
                 raise ValueError(f"record of page {page}: its first segment is missing")
             part = data.as_py()
-            open_record[1].update(part)
-            open_record[2] += len(part)
-            open_record[3], open_record[4] = announced.as_py(), total.as_py()
+            open_record[2].update(part)
+            open_record[3] += len(part)
+            open_record[4], open_record[5] = announced.as_py(), total.as_py()
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)],
@@ -209,12 +223,15 @@ def payloads(chunks: DataFrame) -> DataFrame:
         "page", F.octet_length("data").cast("long").alias("payload_bytes"), F.sha2("data", 256).alias("payload_digest"),
         "record_type", "refers_to",
     )
-    parts = chunks.filter("segmented").select("page", "number", "payload_digest", "total_length", "data")
-    joined = parts.repartition("page").sortWithinPartitions("page", "number").mapInArrow(_fold, "page long, payload_bytes long, payload_digest string")
+    parts = chunks.filter("segmented").select("record", "page", "number", "payload_digest", "total_length", "data")
+    joined = parts.repartition("record").sortWithinPartitions("record", "number").mapInArrow(_fold, "page long, payload_bytes long, payload_digest string")
     responses = single.unionByName(joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
     revisits = chunks.filter(F.col("record_type") == "revisit").select("page", "payload_digest", "record_type", "refers_to")
-    sizes = responses.select(F.col("page").alias("refers_to"), "payload_bytes")
-    revisits = revisits.join(sizes, "refers_to").withColumn("payload_digest", F.substring_index("payload_digest", ":", -1))
+    revisits = revisits.withColumn("payload_digest", F.substring_index("payload_digest", ":", -1))
+    sizes = responses.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page").isNotNull())
+    sizes = sizes.select(F.col("page").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    # written first: an aggregate directly below the join would tie all revisits of a response to one task
+    revisits = revisits.join(stored(sizes, "sizes"), ["refers_to", "payload_digest"])
     return responses.unionByName(revisits.select(*kept))
 
 
