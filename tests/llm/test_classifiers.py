@@ -137,6 +137,17 @@ def test_spaced_letters(model):
     assert "idiot" in toxicity.Restorer(model).of_text("what an I d i o t you are")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "you i d i o t.", 'an "i d i o t"', "an (i d i o t)", "an i  d  i  o  t", "an i\u00a0d\u00a0i\u00a0o\u00a0t!", "an\ni\nd\ni\no\nt",
+        "s o   i d i o t", "an iddioott", "'iddioott'!",
+    ],
+)
+def test_words_spaced_or_doubled_at_the_end_of_a_sentence(model, text):
+    assert "idiot" in toxicity.Restorer(model).of_text(text)
+
+
 def test_viterbi_finds_the_best_path(model):
     for token in ("1d10t", "a*b", "sss", "l o s"):
         lattice = toxicity._lattice(token)

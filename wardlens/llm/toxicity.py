@@ -44,10 +44,12 @@ MARKS = frozenset("*.-_~^'`´·•,:;/\\=#%&")
 _HIDES = frozenset("*#%&?_")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _THREEFOLD = re.compile(r"(.)\1\1")
 # what is no part of a word at its ends, besides a look-alike that is repeated three times or more
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—•·¿"
+# single characters with blanks of any kind between, marks at the ends left out
+_SPACED = re.compile(rf"(?<!\S)[{re.escape(_PUNCTUATION)}]*(\S(?:\s+\S){{2,}})[{re.escape(_PUNCTUATION)}]*(?!\S)")
+_DOUBLED = re.compile(r"(.)\1+")
 _BEFORE = "".join(c for c in _PUNCTUATION if c not in "@$!|+(<")
 _BEHIND = "".join(c for c in _PUNCTUATION if c not in "@$+")
 
@@ -207,6 +209,9 @@ class Restorer:
             options = {plain} if plain else set()
             if _disguised(plain):
                 options.update(restore(plain, self.model).split(" "))
+            elif plain.isascii():
+                # doubled letters may be a disguise; the lexicon is learned from the same forms
+                options.add(_DOUBLED.sub(r"\1", plain))
             found = tuple(sorted(w for w in options if w))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -225,11 +230,21 @@ class Restorer:
         return out
 
     def spaced(self, run: str) -> tuple[str, ...]:
-        """Words of a run of single characters."""
-        run = " ".join(run.split())
-        if run not in self.known:
-            self.known[run] = tuple(w for w in restore(run, self.model).split(" ") if w)
-        return self.known[run]
+        """Words of a run of single characters, as a whole and in the parts that its wider gaps set off."""
+        gaps = [len(g) for g in re.findall(r"\s+", run)]
+        letters = run.split()
+        parts, at = {" ".join(letters)}, 0
+        if max(gaps) > min(gaps):
+            ends = [i for i, g in enumerate(gaps, 1) if g > min(gaps)]
+            for end in [*ends, len(letters)]:
+                parts.add(" ".join(letters[at:end]))
+                at = end
+        out: set[str] = set()
+        for part in parts:
+            if part not in self.known:
+                self.known[part] = tuple(w for w in restore(part, self.model).split(" ") if w)
+            out.update(self.known[part])
+        return tuple(sorted(out))
 
 
 # -- scoring ------------------------------------------------------------------------------------------------------
