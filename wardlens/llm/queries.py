@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardlens.llm import conversations as _conversations
 from wardlens.llm import decontaminate as _decontaminate
 from wardlens.llm import embeddings as _embeddings
 from wardlens.llm import html_blocks as _html_blocks
@@ -93,3 +94,8 @@ def _op5(spark, table):
 @_register("op8_toxicity")
 def _op8(spark, table):
     return _toxicity.digest(table("documents"), table("labels"))
+
+
+@_register("op13_conversation_repair")
+def _op13(spark, table):
+    return _conversations.digest(table("conversations"))
