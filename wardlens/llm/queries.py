@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardlens.llm import conversations as _conversations
 from wardlens.llm import decontaminate as _decontaminate
 from wardlens.llm import embeddings as _embeddings
+from wardlens.llm import exact_dedup as _exact_dedup
 from wardlens.llm import html_blocks as _html_blocks
 from wardlens.llm import langid as _langid
 from wardlens.llm import packing as _packing
@@ -26,10 +27,23 @@ SQL: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
 
 
+class _Tables:
+    """The given tables: by name as DataFrames, or where they lie."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(table))
+
+    def path(self, table: str) -> str:
+        return f"{self.folder}/{table}.parquet"
+
+
 def _register(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(prepare(spark), _Tables(spark, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:
@@ -99,3 +113,8 @@ def _op8(spark, table):
 @_register("op13_conversation_repair")
 def _op13(spark, table):
     return _conversations.digest(table("conversations"))
+
+
+@_register("op12_stateful_dedup", _exact_dedup.SQL)
+def _op12(spark, table):
+    return _exact_dedup.digest(spark, table.path("documents"))
