@@ -18,6 +18,7 @@ from wardlens.llm import simhash as _simhash
 from wardlens.llm import suffix as _suffix
 from wardlens.llm import toxicity as _toxicity
 from wardlens.llm import warc as _warc
+from wardlens.llm import whitening as _whitening
 from wardlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,8 @@ def _op13(spark, table):
 @_register("op12_stateful_dedup", _exact_dedup.SQL)
 def _op12(spark, table):
     return _exact_dedup.digest(spark, table.path("documents"))
+
+
+@_register("op11_whitening")
+def _op11(spark, table):
+    return _whitening.digest(table("embeddings"))
