@@ -24,11 +24,15 @@ from wardlens.llm.shared import ascii_lower, scratch, stored
 
 #: Bytes of files in one batch of the stream.
 BATCH = 64 << 30
+#: Bits of the filter that keeps texts met once from the shuffle; full, it only lets more of them through.
+FILTER_BITS = 1 << 27
 #: State on disk, with a bound on the memory of all stores of an executor.
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores would otherwise reserve far more disk than they fill
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -86,6 +90,17 @@ def retained(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("key.digest", kept["id"].alias("keep_id"), kept["place"].alias("keep_place"), n.alias("n"))
 
 
+def _may_repeat(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose digest is in ``groups``, and a few others: bits of hashed digests, FILTER_BITS / 8 bytes at most, are
+    broadcast, so that texts met once are not shuffled."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    bits = groups.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    placed = rows.withColumn("at", at).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
+    byte = F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))
+    is_set = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return placed.join(F.broadcast(bits), "bucket").filter(is_set).select(*rows.columns)
+
+
 def deduplicate(
     spark: SparkSession, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *,
     digest: Callable[[Column], Column] = sha256,
@@ -95,7 +110,7 @@ def deduplicate(
     # only digests met more than once matter to other rows
     groups = stored(retained(spark, folder).filter("n > 1"), "groups")
     unequal = stored(
-        rows.join(groups.select("digest"), "digest").groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+        _may_repeat(rows, groups).groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
         .filter("low != high").select("digest"),
         "unequal",
     )
