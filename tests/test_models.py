@@ -8,6 +8,7 @@ from wardlens.functions import scalars as S
 from wardlens.models import adaboost, boosted, head, linear, topics
 from wardlens.models import experiment as X
 from wardlens.operators import evaluate as E
+from wardlens.operators.relations import numbered
 
 WIDTH = 6
 
@@ -19,7 +20,7 @@ def separable(spark):
     for i in range(300):
         label = int(i % 3 == 0)
         x = rng.normal(0, 1, WIDTH)
-        x[0] += 4 * label
+        x[0] += 4 * label - 2
         x[1] = 0.0 if i % 2 else x[1]
         rows.append((i, label, ("train", "val", "test")[i // 100], Vectors.dense(x) if i % 5 else Vectors.sparse(WIDTH, list(range(WIDTH)), x.tolist())))
     return spark.createDataFrame(rows, ["doc_id", "label", "split", "features"]).repartition(3).persist()
@@ -58,19 +59,67 @@ def test_importance_counts_every_split(separable, trees):
     assert rows[0]["keyword"] in names
 
 
-def test_svm_grid_learns_and_reloads(separable, tmp_path):
-    from pyspark.ml.classification import LinearSVCModel
-
+def plain_hinge(rows, alpha, epochs, order):
+    """Stochastic descent of one model, row by row: weights, intercept and mean loss of the last epoch."""
+    w, b, t, first = np.zeros(WIDTH), 0.0, 0, 1 / (alpha ** -0.25 * alpha)
+    for _ in range(epochs):
+        loss = 0.0
+        for y, x in order(rows):
+            step = 1 / (alpha * (first + t))
+            margin = y * (w @ x + b)
+            loss += max(0.0, 1 - margin)
+            w *= max(0.0, 1 - step * alpha)
+            if margin <= 1:
+                w += step * y * x
+                b += 0.01 * step * y
+            t += 1
+    return w, b, loss / len(rows)
+
+
+def test_svm_grid_equals_plain_descent(separable, spark):
+    train = part(separable, "train")
+    rows = train.select("doc_id", "label", "features", F.xxhash64(F.lit(42), "doc_id").alias("o")).orderBy("o").collect()
+    given = [(1 if r.label else -1, r.features.toArray()) for r in rows]
+    # tol below any loss: the last epoch is the given one
+    grid = linear.fit_svm_grid(train, "doc_id", (0.001, 0.003), folds=3, max_iter=4, tol=-1e9)
+    assert grid.epochs == 4
+    w, b, _ = plain_hinge(given, grid.best_alpha, 4, list)
+    assert np.allclose(grid.model.getOrDefault("coefficients"), w) and grid.model.getOrDefault("intercept") == pytest.approx(b)
+    # folds: every third row by hash within the label
+    place = {r.doc_id: k % 3 for k, r in enumerate(sorted(rows, key=lambda r: (r.label, r.o)))}
+    for alpha, accuracy in grid.accuracies:
+        shares = []
+        for fold in range(3):
+            kept = [g for g, r in zip(given, rows) if place[r.doc_id] != fold]
+            w, b, _ = plain_hinge(kept, alpha, 4, list)
+            out = [g for g, r in zip(given, rows) if place[r.doc_id] == fold]
+            shares.append(np.mean([(w @ x + b > 0) == (y > 0) for y, x in out]))
+        assert accuracy == pytest.approx(np.mean(shares))
+
+
+def test_svm_grid_stops_learns_and_reloads(separable, tmp_path, monkeypatch):
     from wardlens.sources.files import save_model
 
-    grid = linear.fit_svm_grid(part(separable, "train"), "doc_id", (0.0001, 0.01), folds=2, max_iter=15)
-    assert grid.best_alpha in (0.0001, 0.01) and len(grid.accuracies) == 2
-    scored = grid.model.transform(part(separable, "test"))
-    assert E.scores(scored).first()["accuracy"] > 0.9
+    for shard_rows in (linear.SHARD_ROWS, 30):
+        monkeypatch.setattr(linear, "SHARD_ROWS", shard_rows)
+        grid = linear.fit_svm_grid(part(separable, "train"), "doc_id", linear.ALPHAS, folds=5)
+        assert grid.best_alpha in linear.ALPHAS and len(grid.accuracies) == 30 and grid.epochs < 300
+        scored = grid.model.transform(part(separable, "test"))
+        assert E.scores(scored).first()["accuracy"] > 0.9
+    # the same result however the rows lie
+    again = linear.fit_svm_grid(part(separable, "train").repartition(5), "doc_id", linear.ALPHAS, folds=5)
+    assert np.allclose(again.model.getOrDefault("coefficients"), grid.model.getOrDefault("coefficients"), rtol=0, atol=1e-9)
+    assert again.accuracies == grid.accuracies
     save_model(grid.model, str(tmp_path / "svm"))
-    again = LinearSVCModel.load(str(tmp_path / "svm")).transform(part(separable, "test"))
-    key = lambda df: sorted((r["doc_id"], r["prediction"]) for r in df.select("doc_id", "prediction").collect())
-    assert key(scored) == key(again)
+    loaded = linear.HingeModel.load(str(tmp_path / "svm")).transform(part(separable, "test"))
+    key = lambda df: sorted((r["doc_id"], r["margin"], r["prediction"]) for r in df.select("doc_id", "margin", "prediction").collect())
+    assert key(scored) == key(loaded)
+
+
+def test_rows_are_numbered(spark):
+    df = spark.createDataFrame([(k * 7919 % 1000, k) for k in range(1000)], "v long, k long").repartition(6)
+    rows = numbered(df, F.desc("v")).collect()
+    assert all(r["rank"] == 999 - r.v for r in rows) and len(rows) == 1000
 
 
 def test_adaboost_learns(separable):

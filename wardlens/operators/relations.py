@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import stable_hash, starts_with_code
+from wardlens.session import materialize
 
 # --- filters and projections -------------------------------------------------------------------------------
 
@@ -226,3 +227,18 @@ def hash_sample(df: DataFrame, key: str, ties: Sequence[str], n: int) -> DataFra
 def top_rows(df: DataFrame, score: str, name: str, n: int) -> DataFrame:
     """The ``n`` highest scores, ties by name."""
     return df.orderBy(F.desc(score), F.asc(name)).limit(n)
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in the order, from 0: places within range partitions plus the rows before.
+
+    The ranges are written, as their bounds come from a sample and may differ in a second run. No task sees all rows;
+    only a count per partition is summed in one. Rows that are equal in the order are placed in any way.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = materialize(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    placed = ranges.withColumn("_place", place).join(F.broadcast(before), "_part")
+    return placed.withColumn(name, (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_part", "_place", "_before")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.ml.classification import LinearSVCModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,7 +150,7 @@ def saved_svm_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The best model of the grid, saved, loaded and applied."""
     path = scratch_path(spark, "svm-model")
     files.save_model(_svm(spark, sf).model, path)
-    scored = LinearSVCModel.load(path).transform(matrix(spark, sf).rows)
+    scored = linear.HingeModel.load(path).transform(matrix(spark, sf).rows)
     return scored.select("doc_id", "split", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
