@@ -35,26 +35,82 @@ def trees(separable):
     return boosted.fit_boosted(part(separable, "train"), part(separable, "val"), eta=0.3, patience=3, rounds=8, depth=3)
 
 
-def test_boosted_trees_learn(separable, trees):
-    scored = trees.model.transform(part(separable, "test")).withColumn("hard", E.harden(vector_to_array("probability")[1]))
-    assert E.scores(scored, "label", "hard").first()["accuracy"] > 0.9
-    assert 1 <= trees.best_round <= trees.model.getNumTrees <= 8
+def test_boosted_trees_learn_and_stop(separable, trees, tmp_path):
+    test = part(separable, "test")
+    scored = trees.model.transform(test).withColumn("hard", E.harden(F.col("score")))
+    assert E.scores(scored, "label", "hard").first()["accuracy"] > 0.85
+    kept = trees.model.tree_list()
+    assert 1 <= trees.best_round <= len(kept) == len(trees.val_auc) <= 8
     assert max(trees.val_auc) == trees.val_auc[trees.best_round - 1]
+    assert len(kept) == 8 or len(kept) - trees.best_round == 3
+    # the margins of the loop are those of the model
+    auc = E.auc_of_scores(trees.model.transform(part(separable, "val")), "label", "margin").first()["auc"]
+    assert auc == pytest.approx(trees.val_auc[-1])
+    trees.model.write().overwrite().save(str(tmp_path / "trees"))
+    again = boosted.BoostedTrees.load(str(tmp_path / "trees")).transform(test)
+    margins = lambda df: sorted((r.doc_id, r.margin) for r in df.select("doc_id", "margin").collect())
+    assert margins(again) == margins(scored)
+
+
+def test_margins_are_written_anew(separable, monkeypatch, trees):
+    monkeypatch.setattr(boosted, "WRITE_EVERY", 2)
+    again = boosted.fit_boosted(part(separable, "train"), part(separable, "val"), eta=0.3, patience=3, rounds=8, depth=3)
+    assert again.val_auc == pytest.approx(trees.val_auc)
+    assert [t.feature for t in again.model.tree_list()] == [t.feature for t in trees.model.tree_list()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_split_equals_trying_all(seed):
+    rng = np.random.default_rng(seed)
+    n, width, bins = 60, 5, 4
+    x = np.where(rng.random((n, width)) < 0.4, -1, rng.integers(0, bins, (n, width)))  # -1: absent
+    g, h = rng.normal(size=n), rng.random(n) + 0.1
+    starts = np.arange(0, (width + 1) * bins, bins)
+    first, second = np.zeros(width * bins), np.zeros(width * bins)
+    for f in range(width):
+        for row in np.flatnonzero(x[:, f] >= 0):
+            first[starts[f] + x[row, f]] += g[row]
+            second[starts[f] + x[row, f]] += h[row]
+
+    def score(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + boosted.LAMBDA)
+
+    best = 0.0
+    for f in range(width):
+        for at in range(bins):
+            for absent_left in (False, True):
+                left = (x[:, f] >= 0) & (x[:, f] <= at) | (absent_left & (x[:, f] < 0))
+                if min(h[left].sum(), h[~left].sum()) >= boosted.LEAST_WEIGHT:
+                    best = max(best, score(left) + score(~left) - score(np.full(n, True)))
+    gain, f, at, absent_left, lg, lh = boosted.best_split(first, second, starts, g.sum(), h.sum())
+    left = (x[:, f] >= 0) & (x[:, f] <= at) | (absent_left & (x[:, f] < 0))
+    assert gain == pytest.approx(best) and lg == pytest.approx(g[left].sum()) and lh == pytest.approx(h[left].sum())
+
+
+def test_absent_features_follow_the_learned_side(spark):
+    rows = []
+    for i in range(200):
+        kind = i % 4  # absent or low: 1; high: 0
+        vector = Vectors.sparse(3, {0: 0.2 + i / 1000, 1: 1.0}) if kind == 0 else Vectors.sparse(3, {1: 1.0}) if kind == 1 else Vectors.sparse(3, {0: 0.8 + i / 1000, 2: 1.0})
+        rows.append((i, int(kind < 2), vector))
+    df = spark.createDataFrame(rows, ["doc_id", "label", "features"])
+    found = boosted.fit_boosted(df, df, eta=0.5, patience=2, rounds=4, depth=2, key="doc_id")
+    assert found.val_auc[-1] == 1.0
+    scored = found.model.transform(df.withColumn("features", F.col("features"))).collect()
+    assert all((r.score > 0.5) == (r.label == 1) for r in scored)
 
 
-def test_prefix_margins_equal_the_model(separable, trees):
-    rows = part(separable, "val")
-    last = boosted.prefix_margins(trees.model, rows).filter(F.col("round") == trees.model.getNumTrees)
-    found = sorted(r["margin"] for r in last.collect())
-    raw = trees.model.transform(rows).select(vector_to_array("rawPrediction")[1].alias("m")).collect()
-    assert found == pytest.approx(sorted(r["m"] for r in raw), rel=1e-6)
+def test_rows_that_cannot_be_boosted(spark):
+    df = spark.createDataFrame([(i, 1, Vectors.sparse(3, {})) for i in range(5)], ["doc_id", "label", "features"])
+    found = boosted.fit_boosted(df, df.limit(0), patience=1, rounds=5)
+    assert len(found.model.tree_list()) == 2 and all(len(t.feature) == 1 for t in found.model.tree_list())
+    assert boosted.split_count_importance(found.model, df, ["a", "b", "c"]).count() == 0
 
 
 def test_importance_counts_every_split(separable, trees):
     names = [f"f{i}" for i in range(WIDTH)]
     rows = boosted.split_count_importance(trees.model, separable, names).collect()
-    internal = sum((t.numNodes - 1) // 2 for t in trees.model.trees)
-    assert sum(r["importance"] for r in rows) == internal
+    assert sum(r["importance"] for r in rows) == sum(f >= 0 for t in trees.model.tree_list() for f in t.feature)
     assert rows == sorted(rows, key=lambda r: (-r["importance"], r["keyword"]))
     assert rows[0]["keyword"] in names
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +97,8 @@ def run_experiment(
     rows = matrix.rows
     train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
 
-    trees = boosted.fit_boosted(train, val, config.eta, config.patience, config.rounds)
-    scored = trees.model.transform(test).withColumn("score", vector_to_array("probability")[1])
+    trees = boosted.fit_boosted(train, val, config.eta, config.patience, config.rounds, key=key)
+    scored = trees.model.transform(test)
     tree_scores = E.scores(scored.withColumn("hard", E.harden(F.col("score"))), "label", "hard").first()
 
     grid = linear.fit_svm_grid(train, key, config.alphas, max_iter=config.svm_iterations)

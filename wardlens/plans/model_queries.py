@@ -100,7 +100,7 @@ def _boosted(spark: SparkSession, sf: str) -> tuple[boosted.BoostedModel, DataFr
     rows = built.rows
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
     fitted = shared(
-        spark, sf, "boosted", lambda: boosted.fit_boosted(train, val, CONFIG.eta, CONFIG.patience, CONFIG.rounds)
+        spark, sf, "boosted", lambda: boosted.fit_boosted(train, val, CONFIG.eta, CONFIG.patience, CONFIG.rounds, key="doc_id")
     )
     return fitted, rows, built.names
 
@@ -108,7 +108,7 @@ def _boosted(spark: SparkSession, sf: str) -> tuple[boosted.BoostedModel, DataFr
 @query("boosted_tree_scores", "M3 E1")
 def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     found, rows, _ = _boosted(spark, sf)
-    scored = found.model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    scored = found.model.transform(rows)
     return scored.select("doc_id", "split", "label", "score", E.harden(F.col("score")).alias("prediction"))
 
 
