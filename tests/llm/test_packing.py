@@ -3,6 +3,7 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardlens.llm import packing
@@ -72,14 +73,17 @@ def test_plan_over_counts_equals_best_fit_over_pieces(seed):
 def test_words_one_by_one_equal_the_whole_text():
     texts = ["", "  ", "It's we'll WE'RE x's. a.b,c., d?!. 12 3.4", "Élan İstanbul ΟΔΟΣ, ß. H̱x é. nbsp here wide",
              "<|endoftext|> a<|endoftext|>, tab\tand\x1cfs\x85nel ls\r\nCR", "日本語、テスト。 x², ½. _a_. don't,", "A.", ".", ",", "a,.", "!!,"]
-    found = packing.ids_of(texts, tokenizer_path(TOKENIZER))
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain_ids(t)[:-1] for t in texts]
+    ids, ends = packing.ids_of(pa.array(texts), tokenizer_path(TOKENIZER))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain_ids(t) for t in texts]
+    # a slice of a longer column
+    ids, ends = packing.ids_of(pa.array(texts).slice(2, 3), tokenizer_path(TOKENIZER))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain_ids(t) for t in texts[2:5]]
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     for text in ("one two three four five six", "two, seven eight", "nine ten one Two"):
-        assert np.frombuffer(packing.ids_of([text], tokenizer_path(TOKENIZER))[0], "<u4").tolist() == plain_ids(text)[:-1]
+        assert packing.ids_of(pa.array([text]), tokenizer_path(TOKENIZER))[0].tolist() == plain_ids(text)
 
 
 def test_small_tables(spark):
@@ -89,6 +93,15 @@ def test_small_tables(spark):
     assert packing.digest(frame.limit(0), tokenizer_path(TOKENIZER)).count() == 0
 
 
+def test_shares_and_blocks_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE_ROWS", 7)
+    monkeypatch.setattr(packing, "RANK_BITS", 2)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    texts = [(k % 50, "word " * (1 + k % 13)) for k in range(400)] + [(900, "word " * 3000)] * 30
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    check(packing.digest(frame, tokenizer_path(TOKENIZER)).collect(), texts)
+
+
 def test_query_against_plain_version(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     check(QUERIES["op10_packing"](spark, sf_dir).collect(), texts)

@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wardlens.llm.shared import stored, text_slices
+from wardlens.llm.shared import stored
 
 CAPACITY = 4096
 #: Id put behind every document.
@@ -26,8 +27,10 @@ END = 1
 REMEMBERED = 400_000
 #: A plan of at most this many rows (40 bytes each) is broadcast.
 BROADCAST_ROWS = 500_000
-#: Pieces of one length are ranked in this many shares, so that a frequent length is no single task.
-SHARES = 64
+#: Pieces of one length that are ranked together, about.
+SHARE_ROWS = 100_000
+#: Ranks meet their slots in blocks of 2 to this power.
+RANK_BITS = 12
 
 # Ids of words met lately and before, by tokenizer; a Python worker keeps them from task to task.
 _MEMORY: dict[str, _Memory] = {}
@@ -98,35 +101,63 @@ def _parts(word: str) -> tuple[str, ...]:
     return (word.lower() if word.isascii() else word,)
 
 
-def ids_of(texts: list[str], tokenizer_path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, the same as of the whole text at once."""
-    words = []
-    for text in texts:
-        for blank in "\t\n\x0b\x0c\r":
-            text = text.replace(blank, " ")
-        words.append(text.split(" "))
+def ids_of(texts: pa.StringArray, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids of all texts, each with the end id behind it, and where each text ends.
+
+    The same ids as of the whole text at once. Words are split and numbered for all texts together, so that only the
+    distinct ones are looked up; the ids are then gathered by word number.
+    """
+    words = pc.ascii_split_whitespace(texts)
+    numbered = words.flatten().dictionary_encode()
     if tokenizer_path not in _MEMORY:
         _MEMORY[tokenizer_path] = _Memory(tokenizer_path)
-    get = _MEMORY[tokenizer_path].lookup(set().union(*words)).__getitem__
-    return [b"".join(map(get, ws)) for ws in words]
+    distinct = numbered.dictionary.to_pylist()
+    known = _MEMORY[tokenizer_path].lookup(set(distinct))
+    coded = [known[w] for w in distinct]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    table, starts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+    number = numbered.indices.to_numpy()
+    # place of each word's ids in the output, and from there to its ids in the table
+    counts = sizes[number]
+    before = np.concatenate([[0], np.cumsum(counts)])
+    gathered = table[np.repeat(starts[number] - before[:-1], counts) + np.arange(before[-1])]
+    offsets = words.offsets.to_numpy()
+    per_text = np.diff(before[offsets - offsets[0]])
+    ends = np.cumsum(per_text + 1)
+    ids = np.full(len(gathered) + len(texts), END, "<u4")
+    ids[np.arange(len(gathered)) + np.repeat(np.arange(len(texts)), per_text)] = gathered
+    return ids, ends
+
+
+def _slices(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes, so that work arrays stay small."""
+    start = total = 0
+    for at, size in enumerate(sizes):
+        if at > start and total + size > limit:
+            yield start, at
+            start, total = at, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _pieces(tokenizer_path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = END.to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_slices(values):
+            keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for a, b in _slices(pc.binary_length(texts).to_pylist()):
+                ids, ends = ids_of(texts.slice(a, b - a), tokenizer_path)
+                data = memoryview(ids).cast("B")
                 rows = []
-                for n, data in enumerate(ids_of(values[a:b], tokenizer_path)):
-                    data += end
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((a + n, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                first = 0
+                for n, end in enumerate(ends.tolist()):
+                    for piece, at in enumerate(range(first, end, capacity)):
+                        stop = min(at + capacity, end)
+                        rows.append((a + n, piece, at - first, stop - at, zlib.crc32(data[4 * at : 4 * stop])))
+                    first = end
                 of, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    [keys.take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
@@ -192,43 +223,38 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with an id and a length of 1 to ``capacity``.
 
-    The table is read more than once, so it should be a written one. At most ``capacity`` counts and the plan,
-    whose size depends on the number of different lengths and not of pieces, pass through the driver.
+    At most ``capacity`` counts and the plan, whose size depends on the number of different lengths and not of pieces, pass
+    through the driver. Pieces of a length are ranked in shares of about SHARE_ROWS and meet their slots by block of ranks,
+    so neither a frequent length nor a length with many slots is a single task.
     """
     spark = pieces_table.sparkSession
-    share = F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(SHARES)).cast("int")
-    rows = pieces_table.withColumn("share", share)
+    columns = pieces_table.columns
+    # which share a piece is in is written with it, so that every reader agrees and repeated rows are dealt as well
+    rows = stored(pieces_table.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = spark.createDataFrame([(k, -(-n // SHARE_ROWS)) for k, n in counts.items()], "length long, shares long")
+    rows = rows.join(F.broadcast(sizes), "length").withColumn("share", F.pmod("lot", "shares")).drop("shares")
     shares = rows.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shares.select("length", "share", before.alias("before"))  # at most capacity * SHARES rows
-    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
-    for length, rank, _, first, offset in best_fit(counts, capacity):
-        by_length.setdefault(length, []).append((rank, first, offset))
-    plan = _plan_table(spark, by_length)
+    starts = shares.select("length", "share", before.alias("before"))
     # a share of a length holds equal pieces in any order
-    order = Window.partitionBy("length", "share").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(starts), ["length", "share"])
-    ranked = ranked.withColumn("rank", F.col("place") + F.col("before"))
-    slotted = ranked.join(plan, (ranked["length"] == plan["slot_length"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-    return slotted.select(
-        *pieces_table.columns,
-        (F.col("first") + F.col("rank") - F.col("from_rank")).alias("sequence_id"),
-        F.col("at").alias("offset"),
-    )
-
-
-def _plan_table(spark: SparkSession, by_length: dict[int, list[tuple[int, int, int]]]) -> DataFrame:
-    """The plan as rows of one rank range each."""
-    rows = []
-    for length, slots in by_length.items():
-        ends = [s[0] for s in slots[1:]] + [1 << 62]
-        rows += [(length, rank, end, first, offset) for (rank, first, offset), end in zip(slots, ends, strict=True)]
-    plan = spark.createDataFrame(rows, "slot_length long, from_rank long, to_rank long, first long, at long")
-    return F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan
+    place = F.row_number().over(Window.partitionBy("length", "share").orderBy("lot")) - 1
+    ranked = rows.withColumn("place", place).join(starts, ["length", "share"]).withColumn("rank", F.col("place") + F.col("before"))
+    ranked = ranked.withColumn("block", F.shiftright("rank", RANK_BITS))
+    plan = _plan_table(spark, best_fit(counts, capacity), counts)
+    slotted = ranked.join(plan, ["length", "block"]).filter("rank >= from_rank and rank < to_rank")
+    return slotted.select(*columns, (F.col("first") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), F.col("at").alias("offset"))
+
+
+def _plan_table(spark: SparkSession, plan: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> DataFrame:
+    """The plan as one row per slot and block of ranks that it reaches into; broadcast below BROADCAST_ROWS rows."""
+    slots = spark.createDataFrame([(length, rank, rank + n, first, offset) for length, rank, n, first, offset in plan], "length long, from_rank long, to_rank long, first long, at long")
+    blocks = F.sequence(F.shiftright("from_rank", RANK_BITS), F.shiftright(F.col("to_rank") - 1, RANK_BITS))
+    table = slots.withColumn("block", F.explode(blocks))
+    most = len(plan) + sum((n >> RANK_BITS) + 1 for n in counts.values())
+    return F.broadcast(table) if most <= BROADCAST_ROWS else table
 
 
 def digest(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """The columns of the query. A null text is empty and packs as its end id alone."""
-    table = stored(pieces(documents, tokenizer_path), "pieces")
-    return pack(table).withColumnRenamed("id", "doc_id")
+    return pack(pieces(documents, tokenizer_path)).withColumnRenamed("id", "doc_id")
