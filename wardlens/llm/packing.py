@@ -35,9 +35,6 @@ RANK_BITS = 12
 # Ids of words met lately and before, by tokenizer; a Python worker keeps them from task to task.
 _MEMORY: dict[str, _Memory] = {}
 
-_ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
-
-
 class _Memory:
     """A tokenizer and the ids of words; when full, words that were not needed lately are forgotten."""
 
@@ -51,82 +48,73 @@ class _Memory:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[last] = True
 
-    def lookup(self, words: set[str]) -> dict[str, bytes]:
-        """A dictionary that has at least ``words``."""
-        missing = [w for w in words if w not in self.recent]
+    def coded(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.recent.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
         if len(self.recent) + len(missing) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-            missing = list(words)
         new = []
-        for word in missing:
-            known = self.older.get(word)
+        for k in missing:
+            known = self.older.get(words[k])
             if known is None:
-                new.append(word)
+                new.append(k)
             else:
-                self.recent[word] = known
-        self._learn(new)
-        return self.recent
-
-    def _learn(self, words: list[str]) -> None:
-        """The tokenizer lower-cases, drops white space and splits letters from marks, so an ASCII word may be
-        lower-cased, a last comma or full stop after an ASCII letter coded alone, and words of ASCII letters, which are
-        one word to the tokenizer, coded together and told apart by its word ends."""
-        parts = {w: _parts(w) for w in words}
-        needed = {p for ps in parts.values() for p in ps}
-        coded = {p: found for p in needed if (found := self.recent.get(p) or self.older.get(p)) is not None}
-        needed -= coded.keys()
-        plain = [p for p in needed if p and _ASCII_LETTERS.issuperset(p)]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                found[k] = self.recent[words[k]] = known
+        for plain in (True, False):
+            some = [k for k in new if _plain(words[k]) == plain]
+            for at in range(0, len(some), 2000):
+                part = some[at : at + 2000]
+                for k, data in zip(part, self._encode([words[k] for k in part], plain), strict=True):
+                    found[k] = self.recent[words[k]] = data
+        return found
+
+    def _encode(self, words: list[str], plain: bool) -> Iterator[bytes]:
+        """Words coded together. The tokenizer drops the blanks between them; words of ASCII letters are one word to it and
+        told apart by its word ends, others by where their ids begin in the text."""
+        code = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(code.ids, "<u4")
+        if plain:
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
+            if len(stops) != len(words):
                 raise ValueError("the tokenizer does not mark the end of each word")
-            data = ids.tobytes()
-            start = 0
-            for word, stop in zip(some, (4 * stops).tolist(), strict=True):
-                coded[word] = data[start:stop]
-                start = stop
-        for word in needed.difference(plain):
-            coded[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        for word, ps in parts.items():
-            self.recent[word] = b"".join([coded[p] for p in ps])
+        else:
+            first = np.cumsum([0, *(len(w) + 1 for w in words)])
+            stops = np.searchsorted([a for a, _ in code.offsets], first[1:])
+        data, start = ids.tobytes(), 0
+        for stop in (4 * stops).tolist():
+            yield data[start:stop]
+            start = stop
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    mark = word[-1:]
-    if (mark == "," or mark == ".") and "a" <= word[-2:-1].lower() <= "z":
-        word = word[:-1]
-        return (word.lower() if word.isascii() else word, mark)
-    return (word.lower() if word.isascii() else word,)
+def _plain(word: str) -> bool:
+    return word.isascii() and word.isalpha()
 
 
 def ids_of(texts: pa.StringArray, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ends): the ids of all texts, each with the end id behind it, and where each text ends.
+    """(ids, ends): the ids of all texts one after the other, and where those of each text end.
 
-    The same ids as of the whole text at once. Words are split and numbered for all texts together, so that only the
-    distinct ones are looked up; the ids are then gathered by word number.
+    The same ids as of the whole text at once. Words are split and numbered for all texts together, only the distinct ones are
+    looked up, and their ids gathered by number. The tokenizer parts letters from marks and lower-cases, so a last comma or
+    full stop is parted from its word first, and ASCII words are lower-cased (in others, marks may join with a small letter
+    only), unless a special token may be written in the texts.
     """
-    words = pc.ascii_split_whitespace(texts)
+    plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([.,])(\s|$)", r"\1 \2\3") if plain else texts)
     numbered = words.flatten().dictionary_encode()
+    number, distinct = numbered.indices, numbered.dictionary
+    if plain:
+        again = pc.if_else(pc.string_is_ascii(distinct), pc.ascii_lower(distinct), distinct).dictionary_encode()
+        number, distinct = again.indices.take(number), again.dictionary
     if tokenizer_path not in _MEMORY:
         _MEMORY[tokenizer_path] = _Memory(tokenizer_path)
-    distinct = numbered.dictionary.to_pylist()
-    known = _MEMORY[tokenizer_path].lookup(set(distinct))
-    coded = [known[w] for w in distinct]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    table, starts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
-    number = numbered.indices.to_numpy()
-    # place of each word's ids in the output, and from there to its ids in the table
-    counts = sizes[number]
-    before = np.concatenate([[0], np.cumsum(counts)])
-    gathered = table[np.repeat(starts[number] - before[:-1], counts) + np.arange(before[-1])]
+    coded = _MEMORY[tokenizer_path].coded(distinct.to_pylist())
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)])
+    table = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<u4")))
+    gathered = table.take(number)
+    before = gathered.offsets.to_numpy()
     offsets = words.offsets.to_numpy()
-    per_text = np.diff(before[offsets - offsets[0]])
-    ends = np.cumsum(per_text + 1)
-    ids = np.full(len(gathered) + len(texts), END, "<u4")
-    ids[np.arange(len(gathered)) + np.repeat(np.arange(len(texts)), per_text)] = gathered
-    return ids, ends
+    return gathered.flatten().to_numpy(), before[offsets[1:] - offsets[0]].astype(np.int64) - before[0]
 
 
 def _slices(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -142,19 +130,25 @@ def _slices(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]
 
 
 def _pieces(tokenizer_path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    end = END.to_bytes(4, "little")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
             for a, b in _slices(pc.binary_length(texts).to_pylist()):
                 ids, ends = ids_of(texts.slice(a, b - a), tokenizer_path)
-                data = memoryview(ids).cast("B")
+                data = memoryview(np.ascontiguousarray(ids)).cast("B")
                 rows = []
                 first = 0
-                for n, end in enumerate(ends.tolist()):
-                    for piece, at in enumerate(range(first, end, capacity)):
-                        stop = min(at + capacity, end)
-                        rows.append((a + n, piece, at - first, stop - at, zlib.crc32(data[4 * at : 4 * stop])))
-                    first = end
+                for n, stop in enumerate(ends.tolist()):
+                    # the end id stands behind the last of the text
+                    for piece, at in enumerate(range(first, stop + 1, capacity)):
+                        to = min(at + capacity, stop + 1)
+                        crc = zlib.crc32(data[4 * at : 4 * min(to, stop)])
+                        if to > stop:
+                            crc = zlib.crc32(end, crc)
+                        rows.append((a + n, piece, at - first, to - at, crc))
+                    first = stop
                 of, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
