@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id stays; rows without an id stay."""
-    groups = simhash.near_copies(docs)
+    """Of each group of texts that share 0.8 of their five-word shingles the one with the smallest id stays; rows without an id stay."""
+    groups = simhash.similar_copies(docs)
     gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

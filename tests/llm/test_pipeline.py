@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline  # noqa: E402
 from test_packing import check as check_packing
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import plain_groups, similar_pairs
 from wardlens.llm import langid
 
 
@@ -53,8 +53,16 @@ def test_language(stages):
 
 def test_near_copies(stages):
     rows = stages[1].collect()
-    groups = plain_components({r.doc_id: plain_fingerprint(r.text) for r in rows})
-    assert table(stages[2]) == Counter(tuple(r) for r in rows if groups[r.doc_id] == r.doc_id)
+    kept = {r.doc_id for r in stages[2].collect()}
+    assert table(stages[2]) == Counter(tuple(r) for r in rows if r.doc_id in kept)
+    pairs = similar_pairs({r.doc_id: r.text for r in rows}, 0.72)
+    near = [p for p, j in pairs.items() if j >= 0.8]
+    caught = sum(not (a in kept and b in kept) for a, b in near)
+    assert near and caught >= 0.9 * len(near)
+    # only documents with a similar one go, and one of each group stays
+    assert {r.doc_id for r in rows} - kept <= {b for p in pairs for b in p}
+    groups = plain_groups({r.doc_id for r in rows}, pairs)
+    assert {min(g) for g in groups if len(g) > 1} <= kept
 
 
 def test_repeated_passages(stages):

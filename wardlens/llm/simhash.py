@@ -8,7 +8,8 @@ held by many fingerprints is dealt out again by a second block of the remaining
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +29,46 @@ HOT_BLOCK = 4096
 _FRONT = 400_000
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words.
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, some at a time.
 
     Words are runs of bytes other than the six ASCII blanks, A-Z lower-cased. Fewer words than a shingle count
-    as one shingle. A bit is set when more than half of the hashes have it.
+    as one shingle.
     """
     # both bytes.lower() and bytes.split() know ASCII only
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return
+    digest = xxhash.xxh64_intdigest
     line = b" ".join(words)
+    if len(words) < shingle:
+        yield np.array([digest(line, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    total = len(words) - SHINGLE + 1
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    total = len(words) - shingle + 1
     for at in range(0, total, 1 << 16):
         to = min(total, at + (1 << 16))
-        spans = zip(starts[at:to].tolist(), ends[at + SHINGLE - 1 : to + SHINGLE - 1].tolist(), strict=True)
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, to - at)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+        spans = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist(), strict=True)
+        yield np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, to - at)
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> np.ndarray:
+    return np.packbits(ones * 2 > total, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles; 0 for a text without words. A bit is set when more than half of the
+    hashes have it."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for hashes in _shingle_hashes(text, shingle):
+        ones += _set_bits(hashes)
+        total += len(hashes)
+    return int(_majority(ones, total)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +97,11 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def trie_links(values: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """Component label (smallest index) of each value of sorted, distinct ``values``.
+def trie_links(values: np.ndarray, depth: int, budget: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Component label (smallest index) of each value of sorted ``values``, which are distinct unless ``also`` is given.
 
-    Two values are linked when they agree in the first ``depth`` bits and differ in at most ``budget`` others.
-    A node of the binary trie is a range of the sorted values.
+    Two values are linked when they agree in the first ``depth`` bits and differ in at most ``budget`` others, and when
+    ``also``, called with both indices, allows it. A node of the binary trie is a range of the sorted values.
     """
     label = np.arange(len(values))
     if len(values) < 2:
@@ -108,8 +125,19 @@ def trie_links(values: np.ndarray, depth: int, budget: int) -> np.ndarray:
         if leaf.any():
             a, b = alo[leaf], blo[leaf]
             near = np.bitwise_count(values[a] ^ values[b]) <= budget
-            _settle(label, a[near], b[near])
+            a, b = a[near], b[near]
+            if also is not None:
+                near = also(a, b)
+                a, b = a[near], b[near]
+            _settle(label, a, b)
             alo, ahi, blo, bhi, diff = (x[~leaf] for x in (alo, ahi, blo, bhi, diff))
+        if depth == BITS and also is not None:
+            # equal values at the end of the trie: a node's pairs one by one
+            for a0, a1, b0, b1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), strict=True):
+                for a in range(a0, a1):
+                    b = np.arange(a + 1 if a0 == b0 else b0, b1)
+                    b = b[also(np.full(len(b), a), b)]
+                    _settle(label, np.full(len(b), a), b)
         if depth == BITS or not len(alo):
             continue
         if depth not in zeros:
@@ -226,6 +254,141 @@ def near_copies(
     return rows.join(named, "print").select("id", "print", "component")
 
 
+# --- texts of a given similarity -------------------------------------------------------------------------------------
+
+#: Shingle and similarity of near-copies, and the 64-bit words of their long fingerprints.
+WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 16
+#: Words that texts are dealt by, and pairs at the very similarity that may be missed.
+_DEALT_WORDS, MISSED = 16, 0.05
+#: Texts that share a block value by chance, about; more texts are dealt by longer blocks.
+_BY_CHANCE = 64
+
+
+def long_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> np.ndarray:
+    """SimHash of ``64 * words`` bits over different shingles: one hash each, mixed anew for every word; zero for a text
+    without words."""
+    ones, total = np.zeros((words, BITS), np.int64), 0
+    every = [h for h in _shingle_hashes(text, shingle)]
+    for hashes in [np.unique(np.concatenate(every))] if every else []:
+        for at in range(0, len(hashes), 4096):
+            part = hashes[at : at + 4096]
+            for k in range(words):
+                x = part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                ones[k] += _set_bits(x ^ (x >> np.uint64(31)))
+        total += len(hashes)
+    return np.concatenate([_majority(row, total) for row in ones])
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which texts of this Jaccard similarity differ: the angle between their shingle sets over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _tables(n: int, similarity: float) -> tuple[int, int]:
+    """(bits per block, blocks): blocks grow with the number of texts, and their number so that MISSED is kept."""
+    bits = min(32, max(12, math.ceil(math.log2(max(1, n / _BY_CHANCE)))))
+    agree = (1 - differing_share(similarity)) ** bits
+    return bits, max(1, math.ceil(math.log(MISSED) / math.log(1 - agree)))
+
+
+def _long_fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [long_fingerprint(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "print"])
+
+    return run
+
+
+def _deal(bits: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(print, rep) -> one row per block: the word, turned so that the block is on top, and its top bits as key."""
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, WORDS)
+            for block in range(blocks if len(prints) else 0):
+                word, turn = prints[:, block % _DEALT_WORDS], np.uint64(block // _DEALT_WORDS * bits % BITS)
+                turned = (word << turn) | (word >> (np.uint64(BITS) - turn)) if turn else word
+                key = (turned >> np.uint64(BITS - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(prints), block, np.int32)), pa.array(key), pa.array(turned.view(np.int64)), *batch.columns],
+                    names=["block", "key", "turned", "print", "rep"],
+                )
+
+    return run
+
+
+def _similar(bits: int, similarity: float):
+    share = differing_share(similarity)
+    # a standard error more than the share, so that most pairs at the very similarity pass
+    limit = math.floor(share * BITS * WORDS + math.sqrt(share * (1 - share) * BITS * WORDS))
+    # a single word strays: three standard errors more than its share
+    budget = math.ceil(share * BITS + 3 * math.sqrt(share * (1 - share) * BITS))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def emit(tags, keys, turned, prints, reps) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((turned, keys, tags))
+            tags, keys, turned, prints, reps = (x[order] for x in (tags, keys, turned, prints, reps))
+            for tag in np.unique(tags).tolist():
+                a, b = np.searchsorted(tags, (tag, tag + 1))
+                own = prints[a:b]
+                label = trie_links(
+                    turned[a:b], bits, budget, lambda i, j, own=own: np.bitwise_count(own[i] ^ own[j]).sum(1, dtype=np.int64) <= limit
+                )
+                moved = np.flatnonzero(label != np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][moved]), pa.array(reps[a:b][label[moved]])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WORDS)
+            block, key, turned, rep = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            held.append((block.astype(np.int64), key, turned.view(np.uint64), prints, rep))
+            rows += batch.num_rows
+            if rows >= 100_000:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+                n = int(np.argmax(last))  # the last group may go on in the next batch
+                if n:
+                    yield from emit(*(c[:n] for c in columns))
+                held = [tuple(c[n:] for c in columns)]
+                rows = len(held[0][0])
+        if held:
+            yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return join
+
+
+def similar_copies(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(id, component): the smallest id reachable over links between texts of ``similarity`` or more.
+
+    Similarity is the Jaccard similarity of word shingles as told by long fingerprints: of 1,024 bits, with a standard error
+    of 0.03 at 0.8, which is allowed for, so texts of 0.75 may be linked and hardly any below. Texts meet where a block of a word of their fingerprints agrees; there a trie drops pairs whose word
+    differs too much, and the whole fingerprint decides. Blocks and their number follow the number of different texts, so
+    that a pair at the very similarity is missed in at most MISSED of the cases, and more similar ones less often.
+
+    A null or empty text has fingerprint zero and is linked with its like. Rows with a null id have a null component unless
+    another id shares their fingerprint; repeated ids and rows stay rows. Other columns are not read.
+    """
+    kind = documents.schema[id_col].dataType.simpleString()
+    given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = stored(given.mapInArrow(_long_fingerprints(shingle), f"id {kind}, print binary"), "long-fingerprints")
+    classes = stored(rows.groupBy("print").agg(F.min("id").cast("long").alias("rep")), "long-classes")
+    known = classes.filter(F.col("rep").isNotNull())
+    bits, blocks = _tables(known.count(), similarity)
+    dealt = known.select("print", "rep").mapInArrow(_deal(bits, blocks), "block int, key long, turned long, print binary, rep long")
+    links = dealt.repartition("block", "key").sortWithinPartitions("block", "key").mapInArrow(_similar(bits, similarity), "a long, b long")
+    roots = components(links, "a", "b")
+    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("component"))
+    return rows.join(stored(named, "long-names"), "print").select("id", "component")
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """The columns of the query; the fingerprint as 16 hexadecimal digits."""
     found = near_copies(documents)
