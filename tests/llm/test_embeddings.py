@@ -1,3 +1,5 @@
+from itertools import product
+
 import numpy as np
 
 from wardlens.llm import embeddings
@@ -49,12 +51,28 @@ def test_tree_covers_its_vectors():
         waiting += b.children
 
 
+def linked(found):
+    pairs = [p for a, b, every in found for p in (product(a.tolist(), b.tolist()) if every else zip(a.tolist(), b.tolist()))]
+    assert len(pairs) == len(set(pairs))
+    return set(pairs)
+
+
+def test_balls_within_reach_are_not_compared():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([[1.0, 0, 0, 0] + rng.normal(size=(900, 4)) * 0.01, [0, 1.0, 0, 0] + rng.normal(size=(900, 4)) * 0.01])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = list(embeddings.dual_links(x, None, 0.9))
+    assert any(every for _, _, every in found)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert {tuple(sorted(p)) for p in linked(found)} == {(p, q) for p, q in zip(i.tolist(), j.tolist()) if p < q}
+
+
 def test_dual_traversal_equals_all_pairs():
     x, y = (clustered(n, s).astype(np.float64) for n, s in ((1500, 2), (900, 3)))
     x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
-    found = {(i, j) for a, b in embeddings.dual_links(x, y, 0.9) for i, j in zip(a.tolist(), b.tolist())}
+    found = linked(embeddings.dual_links(x, y, 0.9))
     assert found == set(zip(*(k.tolist() for k in np.nonzero(x @ y.T >= 0.9))))
-    found = {tuple(sorted(p)) for a, b in embeddings.dual_links(x, None, 0.9) for p in zip(a.tolist(), b.tolist())}
+    found = {tuple(sorted(p)) for p in linked(embeddings.dual_links(x, None, 0.9))}
     i, j = np.nonzero(x @ x.T >= 0.9)
     assert found == {(p, q) for p, q in zip(i.tolist(), j.tolist()) if p < q}
 
@@ -73,6 +91,14 @@ def test_rows_against_plain_version(spark, monkeypatch):
     assert sorted((str(tuple(r)) for r in embeddings.digest(lone).collect())) == ["(1, 0, 1, True)", "(None, 0, None, True)", "(None, 0, None, True)"]
 
 
+def test_repeated_ids_are_separate_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (7, [0.0, 1.0]), (0, [-1.0, 0.0]), (0, [-1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.digest(frame).collect())) == [
+        (0, 1, 0, True), (0, 1, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (7, 1, 1, False)
+    ]
+
+
 def test_query_against_plain_version(spark, sf_dir):
     from wardlens.llm.queries import QUERIES
 

@@ -103,8 +103,8 @@ def decontaminate(
     """Per document: id, n_words, n_hit, items (sorted ids as text), spans (start word, words).
 
     Null or empty texts have no words and no hits. Items without an id or without a word are left out; an
-    item of fewer words than ``span`` is one window. Rows with the same document id count as one document:
-    their hits are united and n_words is the largest. Other columns, whatever their names, are not read.
+    item of fewer words than ``span`` is one window. Every row is a document of its own, whether its id is null or
+    repeated; rows of equal id and words are worked on once. Other columns, whatever their names, are not read.
     """
     windows = stored(item_windows(benchmark, item_col, item_text_col, settings.span), "item-windows")
     rows, names = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
@@ -116,46 +116,50 @@ def decontaminate(
     marks = marks.filter(F.col("m.length") == F.col("n")).select("m.length", "m.mark", F.lit(True).alias("known")).distinct()
 
     texts = documents.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    texts = texts.withColumn("n", F.size("words"))
+    texts = texts.withColumn("n", F.size("words")).withColumn("tag", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b")))
+    key = ["id", "tag"]
     # one more entry per document keeps those without any hit, so that texts are read once
     whole = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("place"), F.lit(None).cast("bigint").alias("mark")))
     marked = with_marks(texts, lengths, settings.gram)
     if small:
         found = (
-            marked.select("id", "words", "n", F.explode(F.concat("marks", whole)).alias("m"))
-            .select("id", "words", "n", "m.*")
+            marked.select(*key, "words", "n", F.explode(F.concat("marks", whole)).alias("m"))
+            .select(*key, "words", "n", "m.*")
             .join(F.broadcast(marks), ["length", "mark"], "left")
             .filter(F.col("known") | (F.col("length") == 0))
         )
     else:
         hits = (
-            marked.select("id", F.explode("marks").alias("m")).select("id", "m.*").join(marks, ["length", "mark"])
-            .groupBy("id").agg(F.collect_set(F.struct("length", "place", "mark")).alias("hits"))
+            marked.select(*key, F.explode(F.concat("marks", whole)).alias("m")).select(*key, "m.*").join(marks, ["length", "mark"])
+            .groupBy(*key).agg(F.collect_set(F.struct("length", "place", "mark")).alias("hits"))
         )
+        same = F.col("t.id").eqNullSafe(F.col("h.id")) & (F.col("t.tag") == F.col("h.tag"))
         found = (
-            texts.join(hits, texts["id"].eqNullSafe(hits["id"]), "left").select(texts["id"], "words", "n", "hits")
-            .select("id", "words", "n", F.explode(F.concat(F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)), whole)).alias("m"))
-            .select("id", "words", "n", "m.*")
+            texts.alias("t").join(hits.alias("h"), same, "left").select("t.id", "t.tag", "words", "n", "hits")
+            .select(*key, "words", "n", F.explode(F.concat(F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)), whole)).alias("m"))
+            .select(*key, "words", "n", "m.*")
         )
     reach = F.col("length") - F.least(F.col("length"), F.lit(settings.gram))
     first = F.greatest(F.lit(0), F.col("place") - reach)
     last = F.least(F.col("place"), F.col("n") - F.col("length"))
     starts = F.when(F.col("length") == 0, F.array(F.lit(-1))).when(first <= last, F.sequence(first, last))
-    runs = found.select("id", "words", "n", "length", F.explode(starts).alias("start"))
-    runs = runs.select("id", "n", "length", "start", F.when(F.col("length") > 0, _run(F.col("start"), F.col("length"))).alias("run"))
+    runs = found.select(*key, "words", "n", "length", F.explode(starts).alias("start"))
+    runs = runs.select(*key, "n", "length", "start", F.when(F.col("length") > 0, _run(F.col("start"), F.col("length"))).alias("run"))
     hit = F.col("items").isNotNull()
     per_document = (
         runs.join(bounded(windows.select(F.col("n").alias("length"), "run", "items")), ["length", "run"], "left")
         .filter(hit | (F.col("start") < 0))
-        .groupBy("id")
+        .groupBy(*key)
         .agg(
+            F.count_if(F.col("start") < 0).alias("rows"),
             F.max("n").cast("long").alias("n_words"),
             F.collect_set(F.when(hit, F.struct("start", "length"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
     )
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-    return per_document.select(F.col("id").alias(id_col), "n_words", F.size(places).cast("long").alias("n_hit"), "items", "spans")
+    every = per_document.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return every.select(F.col("id").alias(id_col), "n_words", F.size(places).cast("long").alias("n_hit"), "items", "spans")
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:

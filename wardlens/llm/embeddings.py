@@ -24,6 +24,8 @@ THRESHOLD = 0.9
 BLOCK = 8192
 #: Pivots at most, taken from the vectors with the smallest hashes; they only decide which vectors share a block.
 PIVOTS = 256
+#: Distances closer to a bound than this are compared: the root of a rounded cosine near 1 is off by some 2e-8.
+SLACK = 1e-6
 #: Vectors in a ball that is not divided further, and balls that a ball is divided into at most.
 LEAF = 256
 CHILDREN = 16
@@ -103,8 +105,12 @@ def cover_tree(x: np.ndarray) -> tuple[np.ndarray, Ball]:
     return order, root
 
 
-def dual_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (of ``x`` and ``y``, or of ``x`` alone with each pair once) of cosine ``threshold`` or more."""
+def dual_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of rows (of ``x`` and ``y``, or of ``x`` alone with each pair once) of cosine ``threshold`` or more.
+
+    Rows (a, b, False): ``a[k]`` is linked with ``b[k]``. Rows (a, b, True): all of ``a`` with all of ``b``, two balls
+    whose bounds leave no other way; they are not compared.
+    """
     reach = math.sqrt(2 - 2 * threshold)
     own = y is None
     left, a = cover_tree(x)
@@ -115,7 +121,11 @@ def dual_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterato
     waiting = [(a, b)]
     while waiting:
         a, b = waiting.pop()
-        if float(_distance(a.centre @ b.centre)) - a.radius - b.radius > reach + 1e-9 and a is not b:
+        apart = float(_distance(a.centre @ b.centre)) if a is not b else 0.0
+        if apart - a.radius - b.radius > reach + SLACK and a is not b:
+            continue
+        if a is not b and apart + a.radius + b.radius < reach - SLACK:
+            yield left[a.start : a.stop], right[b.start : b.stop], True
             continue
         if a.children and (not b.children or a.stop - a.start >= b.stop - b.start):
             if a is b:
@@ -134,7 +144,7 @@ def dual_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterato
         for k in range(0, len(i), 200_000):
             p, q = i[k : k + 200_000], j[k : k + 200_000]
             sure = np.einsum("ij,ij->i", xs[p], ys[q]) >= threshold
-            yield left[p[sure]], right[q[sure]]
+            yield left[p[sure]], right[q[sure]], False
 
 
 def _join_blocks(threshold: float):
@@ -151,10 +161,16 @@ def _join_blocks(threshold: float):
         links = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
         if len(x) and (y is not None or not frame["pair"].iloc[0]):
-            for a, b in dual_links(x, y, threshold):
+            for a, b, all_of_them in dual_links(x, y, threshold):
                 b = b + shift
-                np.add.at(links, a, held[b])
-                np.add.at(links, b, held[a])
+                if all_of_them:
+                    links[a] += held[b].sum()
+                    links[b] += held[a].sum()
+                    # one chain through both
+                    a, b = np.concatenate([np.full(len(b), a[0]), a[1:]]), np.concatenate([b, np.full(len(a) - 1, b[0])])
+                else:
+                    np.add.at(links, a, held[b])
+                    np.add.at(links, b, held[a])
                 while len(a):
                     p, q = label[a], label[b]
                     apart = p != q
@@ -196,9 +212,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         "units",
     )
     usable = rows.filter(F.col("unit").isNotNull() & F.col("id").isNotNull())
-    classes = stored(usable.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")).withColumn("size", F.length("unit")), "classes")
+    # a number per distinct direction, written with it; ids may be repeated
+    distinct = usable.groupBy("unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held"))
+    classes = stored(distinct.withColumn("size", F.length("unit")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    pivots = bounded_sample(classes.select("rep", "unit", "size"), "rep", max(1, min(PIVOTS, n // BLOCK)), "pivots").collect()
+    pivots = bounded_sample(classes.select("unit", "size"), "unit", max(1, min(PIVOTS, n // BLOCK)), "pivots").collect()
     table = [(r["size"], np.frombuffer(r["unit"], np.float64)) for r in pivots]
     pivot_of = {s: (np.array([p for z, p in table if z == s]), [k for k, (z, _) in enumerate(table) if z == s]) for s in {z for z, _ in table}}
 
@@ -229,7 +247,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 continue
             if a is not b and a["cell"] >= 0 and b["cell"] >= 0:
                 apart = float(_distance(table[a["cell"]][1] @ table[b["cell"]][1]))
-                if apart - a["radius"] - b["radius"] > reach + 1e-9:
+                if apart - a["radius"] - b["radius"] > reach + SLACK:
                     continue
             plan.append((a["size"], a["cell"], a["blocks"], b["cell"], b["blocks"]))
     if not plan:
@@ -242,10 +260,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     linked = stored(linked, "links")
     roots = components(linked, "rep", "other")
     counts = linked.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = (
-        classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-        .select("unit", (F.coalesce("n", F.lit(0)) + F.col("held") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
-    )
+    placed = classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = stored(placed.select("unit", (F.coalesce("n", F.lit(0)) + F.col("held") - 1).alias("n_links"), "root", "least"), "placed")
+    named = placed.join(stored(placed.groupBy("root").agg(F.min("least").alias("component")), "named"), "root").select("unit", "n_links", "component")
     lone = rows.filter(F.col("unit").isNull() | F.col("id").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     found = usable.join(named, "unit").select("id", "n_links", "component").unionByName(lone)
     return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
