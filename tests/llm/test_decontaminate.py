@@ -41,7 +41,7 @@ def test_null_and_repeated_ids(spark, broadcast_rows):
     items = [("a", passage), ("b", "Two words"), ("c", None), (None, "one two three"), ("d", "p3 " * 12), ("a", passage)]
     documents = [
         (1, f"start {passage[:80]} end"), (1, "two words"), (1, "two words"), (None, "nothing here"), (None, "TWO words"), (None, None), (2, ""),
-        (3, "p3 " * 40), (4, f"{passage} {passage}"), (None, "nothing here"), (5, "word " * 20_000 + passage),
+        (3, "p3 " * 40), (4, f"{passage} {passage}"), (None, "nothing here"), (5, "word " * 3_000 + passage),
     ]
     rows = [(*r, "x", 1, "y") for r in documents]
     df = spark.createDataFrame(rows, "doc_id long, text string, tag string, n int, words string").repartition(4)

@@ -130,7 +130,8 @@ def decontaminate(
         )
     else:
         hits = (
-            marked.select(*key, F.explode(F.concat("marks", whole)).alias("m")).select(*key, "m.*").join(marks, ["length", "mark"])
+            # written first: the optimizer would work out all marks of a text again for each one of them
+            stored(marked.select(*key, "marks"), "marks").select(*key, F.explode("marks").alias("m")).select(*key, "m.*").join(marks, ["length", "mark"])
             .groupBy(*key).agg(F.collect_set(F.struct("length", "place", "mark")).alias("hits"))
         )
         same = F.col("t.id").eqNullSafe(F.col("h.id")) & (F.col("t.tag") == F.col("h.tag"))
