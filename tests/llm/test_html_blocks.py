@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from wardlens.llm.html_blocks import digest, main_text
 
 
@@ -31,6 +33,51 @@ def test_odd_input():
     assert main_text("1 < 2 <article>3 < 4 & 5</article><script>") == "3 < 4 & 5"
 
 
+LONG = ["Some words of the story that go on for a while, so that they are a paragraph of it number %d." % k for k in range(6)]
+STORY = "<h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in LONG)
+WANTED = "\n".join(["Title", *LONG])
+MENU = "<ul class='menu'><li><a href=1>Home</a><li><a href=2>News of the day</a></ul>"
+FOOT = "<footer>All rights reserved by the people who wrote it</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content-sidebar-wrap'>{MENU}<main><article>{STORY}</article></main></div>{FOOT}",
+    f"<body class='has-sidebar'><div class='has-sidebar'><article>{STORY}</article></div>{MENU}{FOOT}",
+    f"<div id='page-with-nav'>{MENU}<article>{STORY}</article></div>{FOOT}",
+    f"<form class='form-page'>{MENU}<article>{STORY}</article></form>{FOOT}",
+    f"{MENU}<article><div class='entry-content share-enabled'>{STORY}</div></article>{FOOT}",
+    f"{MENU}<article><div class='article-header'><h1>Title</h1></div>{STORY.removeprefix('<h1>Title</h1>')}</article>{FOOT}",
+    f"{MENU}<article><header><h1>Title</h1><p>by me</p><p>{LONG[0]}</p></header>{''.join(f'<p>{t}</p>' for t in LONG[1:])}</article>{FOOT}",
+    f"{MENU}<main><article>{STORY}</article><p><a href=3>Read now</a></p><p><a href=4>Next story</a></p></main>{FOOT}",
+    f"{MENU}<div class='page-form'><div class='text'>{STORY}</div></div>{FOOT}",
+    f"{MENU}<div>{STORY}</div>{FOOT}",
+])
+def test_wrappers_do_not_lose_the_article(page):
+    assert main_text(page) == WANTED
+
+
+def test_several_and_nested_articles():
+    second = "<article><h2>Other</h2><p>It is short.</p></article>"
+    assert main_text(f"{MENU}<article>{STORY}</article>{second}{FOOT}") == WANTED + "\nOther\nIt is short."
+    nested = f"<article><p>Before.</p>{second}<p>After it.</p></article>"
+    assert main_text(f"{MENU}{nested}{FOOT}") == "Before.\nOther\nIt is short.\nAfter it."
+    comments = "<section class='comments'><article class='comment'><p>A reader wrote this long remark about the story, again and again.</p></article></section>"
+    assert main_text(f"<article>{STORY}</article>{comments}") == main_text(f"<article>{STORY}{comments}</article>") == WANTED
+
+
+def test_a_dropped_block_is_a_gap():
+    page = f"{MENU}<div>{STORY}<div class='advert'>Buy it all</div><p>So it ends.</p></div>{FOOT}"
+    assert main_text(page) == WANTED + "\nSo it ends."
+
+
+def test_ties_and_deep_pages():
+    same = "<article><p>Equal text.</p></article>"
+    assert main_text(same * 3) == "\n".join(["Equal text."] * 3)
+    deep = "<div>" * 20_000 + "<article><p>deep</p></article>" + "</div>" * 20_000
+    assert main_text(deep) == "deep"
+    assert main_text("<div class='nav'>" * 5_000 + "<p>all of it</p>") == "all of it"
+
+
 def test_rows(spark):
     frame = spark.createDataFrame([(1, None, None, "t"), (2, "u", "<article>é</article>", "t"), (2, "u", "", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, digest(frame).collect()), key=str) == [(1, None, "", 0), (2, "u", "", 0), (2, "u", "é", 1)]

@@ -1,8 +1,11 @@
 """Main text of a web page by the distribution of text over its lines.
 
 Markup is stripped and every block becomes a line. Boilerplate (menus, forms, adverts, comments and the like, by
-element, role, class or id) becomes empty lines. The text length summed over a sliding window of lines surges where
-the article begins and dives to zero where it ends; the lines between a surge and the next dive are kept.
+element, role, class or id) becomes empty lines, unless it holds an article or, where only its name tells, half of the
+page's text. The text length summed over a sliding window of lines surges where the article begins and dives to zero where
+it ends; the lines between a surge and the next dive are kept. An article element adds weight to its lines: any text
+surges there, while text elsewhere must be half as dense as in the article. A dropped block inside the article is a gap:
+what follows in the same element goes on.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ SURGE = 80
 
 # Elements that are never article text; the content of the first group is not markup.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_DROPPED = _RAW | frozenset("head nav footer aside form menu button select noscript template svg math object canvas dialog audio video map".split())
+_DROPPED = _RAW | frozenset("head button select noscript template svg math object canvas dialog audio video map".split())
+# Elements that are no article text unless an article lies in them.
+_AROUND = frozenset("nav footer aside form menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol "
@@ -45,64 +50,114 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+# How sure it is that an element is boilerplate: kept, told by its name, by its kind, whatever it holds.
+_KEPT, _NAMED, _KIND, _ALWAYS = range(4)
+
+
+def _boilerplate(name: str, attributes: str, in_article: bool) -> int:
     if name in _DROPPED:
-        return True
-    if name == "header" and not in_article:
-        return True
+        return _ALWAYS
+    sure = _KIND if name in _AROUND or name == "header" and not in_article else _KEPT
+    if name == "form":
+        sure = _NAMED
     if not attributes or name in ("html", "body", "main", "article") and "comment" not in attributes.lower():
-        return False
+        return sure
     for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         value = a or b or c
         key = key.lower()
         if hidden or key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return _ALWAYS
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+            return _ALWAYS
         if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and not _NAMES.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
-    return False
+            sure = max(sure, _KIND)
+        if key in ("class", "id"):
+            names = _NAMES.intersection(w.lower() for w in _WORDS.findall(value))
+            # the head of an article is read like its header element
+            if names and not (in_article and names == {"header"}):
+                sure = max(sure, _NAMED)
+    return sure
+
+
+class _Element:
+    """An open or closed element: whether and how surely it is boilerplate, and what it holds."""
+
+    __slots__ = ("name", "sure", "parent", "article", "holds_article", "size", "flagged", "header", "link", "paragraph", "heading", "_gone")
+
+    def __init__(self, name: str, sure: int, parent: _Element | None) -> None:
+        self.name, self.sure, self.parent = name, sure, parent
+        # 2: in an article, 1: in a main element only
+        self.article = 2 if name == "article" else max(parent.article if parent else 0, int(name == "main"))
+        self.holds_article = False
+        self.size = 0
+        # the nearest element around, itself included, that may be boilerplate
+        self.flagged: _Element | None = self if sure else parent.flagged if parent else None
+        self.header = name == "header" or parent is not None and parent.header
+        self.link = name == "a" or parent is not None and parent.link
+        self.paragraph = name == "p" or parent is not None and parent.paragraph
+        self.heading = name in _HEADING or parent is not None and parent.heading
+        self._gone: bool | None = None
+
+    def gone(self, size: int) -> bool:
+        """Whether it is dropped from a page of ``size`` characters."""
+        chain, at, gone = [], self.flagged, False
+        while at is not None and at._gone is None:
+            chain.append(at)
+            at = at.parent.flagged if at.parent else None
+        if at is not None:
+            gone = at._gone
+        for at in reversed(chain):
+            gone = gone or at.sure == _ALWAYS or not at.holds_article and (at.sure == _KIND or 2 * at.size < size)
+            at._gone = gone
+        return gone
+
+
+class _Line:
+    __slots__ = ("text", "plain", "element", "heading", "gap")
+
+    def __init__(self, text: str, plain: int, element: _Element | None, heading: bool, gap: bool = False) -> None:
+        self.text, self.plain, self.element, self.heading, self.gap = text, plain, element, heading, gap
 
 
 class _Page:
-    """Lines of a page: text, the part of it outside links, and the article element they stand in (0: none)."""
+    """Lines of a page: text, the part of it outside links, and the element around it."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # name, whether dropped, article
+        self.lines: list[_Line] = []
+        self.stack: list[_Element] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.articles = 0
+        self.size = 0
+        self.elements: list[_Element] = []
 
     def dropped(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
-
-    def article(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
+        return bool(self.stack) and self.stack[-1].flagged is not None and self.stack[-1].flagged.sure == _ALWAYS
 
     def text(self, raw: str) -> None:
         if self.dropped():
             return
         value = _html.unescape(raw)
         self.parts.append(value)
-        if any(name == "a" for name, _, _ in self.stack):
+        if self.stack and self.stack[-1].link:
             self.linked += len(value)
 
     def end_line(self) -> None:
         if self.parts:
             value = " ".join("".join(self.parts).split())
             if value:
-                self.lines.append((value, max(0, len(value) - self.linked), self.article()))
+                top = self.stack[-1] if self.stack else None
+                self.lines.append(_Line(value, max(0, len(value) - self.linked), top, top is not None and top.heading))
+                self.size += len(value)
+                if top is not None:
+                    top.size += len(value)
             self.parts, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
         if name in _BLOCK:
             self.end_line()
-            while self.stack and any(n == "p" for n, _, _ in self.stack) and name not in ("tr", "tbody"):
-                at = max(k for k, s in enumerate(self.stack) if s[0] == "p")
-                if any(n in _BLOCK or n in _DROPPED for n, _, _ in self.stack[at + 1 :]):
+            while self.stack and self.stack[-1].paragraph and name not in ("tr", "tbody"):
+                at = max(k for k, e in enumerate(self.stack) if e.name == "p")
+                if any(e.name in _BLOCK or e.name in _DROPPED for e in self.stack[at + 1 :]):
                     break
                 del self.stack[at:]
         elif name == "br" or name in ("td", "th"):
@@ -112,26 +167,26 @@ class _Page:
             return
         if name in _CLOSES:
             for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in _CLOSES[name]:
+                if self.stack[at].name in _CLOSES[name]:
                     del self.stack[at:]
                     break
-                if self.stack[at][0] in ("ul", "ol", "dl", "table", "select", "menu"):
+                if self.stack[at].name in ("ul", "ol", "dl", "table", "select", "menu"):
                     break
-        inside = self.article()
-        gone = self.dropped() or _boilerplate(name, attributes, bool(inside))
-        if gone and not self.dropped():
+        parent = self.stack[-1] if self.stack else None
+        sure = _boilerplate(name, attributes, parent is not None and parent.article > 0)
+        if sure:
             self.end_line()
-            self.lines += [("", 0, 0)] * LINES
-        if not gone and name in ("article", "main"):
-            # the innermost article counts, a main element only where there is none
-            self.articles += 1
-            inside = self.articles if name == "article" or not inside else inside
-        self.stack.append((name, gone, inside))
+        element = _Element(name, sure, parent)
+        element.holds_article = name in ("article", "main") and not sure
+        self.elements.append(element)
+        if sure:
+            self.lines.append(_Line("", 0, element, False, gap=True))
+        self.stack.append(element)
 
     def close(self, name: str) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == name:
-                if name in _BLOCK or self.stack[at][1] != (at > 0 and self.stack[at - 1][1]):
+            if self.stack[at].name == name:
+                if name in _BLOCK or self.stack[at].sure:
                     self.end_line()
                 del self.stack[at:]
                 return
@@ -139,9 +194,8 @@ class _Page:
             self.end_line()
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
+def page_of(page: str) -> _Page:
     found, at = _Page(), 0
-    header_from = None
     while True:
         token = _TOKEN.search(page, at)
         if token is None:
@@ -155,18 +209,6 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         name = token[2].lower()
         if token[1]:
             found.close(name)
-            if name == "header" and header_from is not None:
-                # of a header inside the article only headings belong to it
-                found.lines[header_from:] = [x for x in found.lines[header_from:] if x[0].startswith("\0")]
-                found.lines[header_from:] = [(x[0][1:], *x[1:]) for x in found.lines[header_from:]]
-                header_from = None
-            continue
-        if name == "header" and found.article() and not found.dropped():
-            found.end_line()
-            header_from = len(found.lines)
-        if header_from is not None and name in _HEADING and not found.dropped():
-            found.open(name, token[3])
-            found.parts.append("\0")
             continue
         found.open(name, token[3])
         if name in _RAW:
@@ -174,34 +216,59 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
     found.end_line()
-    return [(t.replace("\0", ""), n, a) for t, n, a in found.lines]
+    # what an element holds counts for those around it
+    for element in reversed(found.elements):
+        if element.parent is not None:
+            element.parent.size += element.size
+            element.parent.holds_article |= element.holds_article
+    return found
+
+
+def _container(line: _Line) -> _Element | None:
+    """The element around a line's own block."""
+    e = line.element
+    if e is not None and e.name in ("p", "li", "pre", *_HEADING):
+        e = e.parent
+    return e
 
 
 def main_text(page: str | None) -> str:
     """Text of the article, one line per block; empty for a page without any."""
-    lines = lines_of(page or "")
-    size: dict[int, int] = {}
-    for text, _, article in lines:
-        if article:
-            size[article] = size.get(article, 0) + len(text)
-    if size:
-        chosen = max(size, key=lambda a: (size[a], -a))
-        weights, surge = [len(t) if a == chosen else 0 for t, _, a in lines], 1
-    else:
-        weights, surge = [n for _, n, _ in lines], SURGE
+    found = page_of(page or "")
+    lines: list[_Line] = []
+    for line in found.lines:
+        gone = line.element is not None and line.element.gone(found.size)
+        if line.gap:
+            if gone:
+                lines += [line] * LINES
+        elif not gone:
+            # of a header inside the article only headings and text as long as a paragraph belong to it
+            in_head = line.element is not None and line.element.header
+            if not in_head or line.heading or line.plain >= SURGE:
+                lines.append(line)
+    # a main element counts only where there is no article
+    most = max((x.element.article for x in lines if x.text and x.element is not None), default=0)
+    within = [most > 0 and x.element is not None and x.element.article == most for x in lines]
+    weights = [len(x.text) if w else x.plain for x, w in zip(lines, within)]
     windows = [sum(weights[i : i + LINES]) for i in range(len(lines))]
-    if size == {} and windows and max(windows) < surge:
-        surge = max(1, max(windows))  # a short page: its fullest windows
+    inner = max((n for n, w in zip(windows, within) if w), default=0)
+    outer = max(SURGE, inner // 2)
+    if windows and max(windows) < outer and not inner:
+        outer = max(1, max(windows))  # a short page: its fullest windows
     kept: list[str] = []
-    inside = False
-    for i, (text, _, _) in enumerate(lines):
+    inside, last = False, None
+    for i, line in enumerate(lines):
+        surge = 1 if within[i] else outer
         # the surge counts from its first line with text on; the dive is the first window without any
-        if not inside and windows[i] >= surge and weights[i]:
+        if not inside and weights[i] and (windows[i] >= surge or last is not None and _container(line) is last):
             inside = True
         elif inside and not windows[i]:
             inside = False
-        if inside and text and (weights[i] or not size):
-            kept.append(text)
+        elif inside and inner and not within[i] and weights[i] and windows[i] < outer and _container(line) is not last:
+            inside = False  # out of the article into thinner text
+        if inside and line.text and (weights[i] or not inner):
+            kept.append(line.text)
+            last = _container(line)
     return "\n".join(kept)
 
 
