@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardlens.functions import lexicon
 from wardlens.functions import scalars as S
+from wardlens.operators.relations import numbered
 
-# A vocabulary is numbered in one task and broadcast; more words than this are refused.
+# A vocabulary of so many words is numbered in one task and broadcast; a larger one by ranges, and joined.
 MOST_FEATURES = 1_000_000
 
 # --- counts and vocabularies -------------------------------------------------------------------------------
@@ -35,14 +36,21 @@ def document_count(df: DataFrame, key: str) -> Column:
     return df.agg(F.count_distinct(key)).scalar()
 
 
+def whole_vocab(counts: DataFrame) -> DataFrame:
+    """Every token: (token, idx, cf, df); ``idx`` follows the token order."""
+    totals = counts.groupBy("token").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return numbered(totals, "token", name="idx").select("token", F.col("idx").cast("int").alias("idx"), "cf", "df")
+
+
 def top_vocab(counts: DataFrame, max_features: int) -> DataFrame:
     """The most frequent tokens, ties by token: (token, idx, cf, df); ``idx`` follows the token order.
 
-    At most ``max_features`` rows, themselves at most MOST_FEATURES, are gathered to number them.
+    Up to MOST_FEATURES rows are gathered to number them; more are ranked by range.
     """
-    if max_features > MOST_FEATURES:
-        raise ValueError(f"max_features is limited to {MOST_FEATURES}")
     totals = counts.groupBy("token").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if max_features > MOST_FEATURES:
+        kept = numbered(totals, F.desc("cf"), F.asc("token")).filter(F.col("rank") < max_features).drop("rank")
+        return numbered(kept, "token", name="idx").select("token", F.col("idx").cast("int").alias("idx"), "cf", "df")
     top = totals.orderBy(F.desc("cf"), F.asc("token")).limit(max_features)
     return (
         top.agg(F.array_sort(F.collect_list(F.struct("token", "cf", "df"))).alias("entries"))
@@ -62,14 +70,15 @@ def tfidf_fit(counts: DataFrame, n_docs: Column, max_features: int, smooth: bool
     return top_vocab(counts, max_features).withColumn("idf", inverse_frequency(n_docs, F.col("df"), smooth))
 
 
-def tfidf_transform(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
+def tfidf_transform(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True, bounded: bool = True) -> DataFrame:
     """Weights of the vocabulary words of each document, each document scaled to length 1: (key, token, idx, value).
 
-    ``vocab`` comes from ``top_vocab``, which bounds its size, and so is broadcast; a document then has at most
-    that many rows, which is what bounds the window over it.
+    A ``bounded`` vocabulary comes from ``top_vocab`` with at most MOST_FEATURES words and is broadcast. The window
+    over a document holds at most its different words.
     """
     tf = (F.log("tf") + 1) if sublinear else F.col("tf")
-    weighted = counts.join(F.broadcast(vocab.select("token", "idx", "idf")), "token").withColumn("w", tf * F.col("idf"))
+    known = vocab.select("token", "idx", "idf")
+    weighted = counts.join(F.broadcast(known) if bounded else known, "token").withColumn("w", tf * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "token", "idx", (F.col("w") / length).alias("value"))
 
@@ -80,9 +89,10 @@ def bow_transform(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "token", "idx", F.col("tf").cast("double").alias("value"))
 
 
-def tfidf_from_counts(counts: DataFrame, n_docs: Column, max_features: int, key: str) -> DataFrame:
-    """Plain term frequency with smooth idf, scaled to length 1."""
-    return tfidf_transform(counts, tfidf_fit(counts, n_docs, max_features, smooth=True), key, sublinear=False)
+def tfidf_from_counts(counts: DataFrame, n_docs: Column, key: str) -> DataFrame:
+    """Plain term frequency with smooth idf over every word, scaled to length 1."""
+    vocab = whole_vocab(counts).withColumn("idf", inverse_frequency(n_docs, F.col("df"), True))
+    return tfidf_transform(counts, vocab, key, sublinear=False, bounded=False)
 
 
 def document_frequency(df: DataFrame, key: str, tokens: Column) -> DataFrame:

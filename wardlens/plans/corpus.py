@@ -133,12 +133,12 @@ def counts_sql(name: str, source: str = "documents", key: str = "doc_id", text:
   from (select {key}, unnest({tokens}) as token from {source}) {where} group by 1, 2)"""
 
 
-def vocab_sql(name: str, counts: str, n: int) -> str:
+def vocab_sql(name: str, counts: str, n: int | None = None) -> str:
     return f"""
 {name} as (
   select token, cast(row_number() over (order by token) - 1 as integer) as idx, cf, df
   from (select token, cast(sum(tf) as bigint) as cf, count(*) as df from {counts} group by 1
-        order by cf desc, token limit {n}))"""
+        order by cf desc, token {f'limit {n}' if n else ''}))"""
 
 
 WORD_VECTORS_SQL = [

@@ -19,9 +19,8 @@ from wardlens.session import materialize
 from wardlens.sources import files
 from wardlens.sources.tables import read_table
 
-MAX_FEATURES = 2000
-MATRIX_WORDS = 500
-SEQUENCE_LENGTH = 200
+MAX_FEATURES = MATRIX_WORDS = 10_000
+SEQUENCE_LENGTH = 2500
 CAP = W.AVERAGE_CAP
 DIM = K.VECTOR_WIDTH
 
@@ -109,13 +108,13 @@ def bag_of_words(spark: SparkSession, sf: str) -> DataFrame:
     "tfidf_from_counts", "V5",
     with_ctes(
         COUNTS_SQL,
-        K.vocab_sql("vocab", "counts", MAX_FEATURES),
+        K.vocab_sql("vocab", "counts"),
         weights_sql("weights", "vocab", "counts", "(select count(*) from documents)", smooth=True, sublinear=False),
     ) + "select doc_id, token, idx, round(value, 6) as value from weights",
 )
 def tfidf_from_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = K.documents(spark, sf)
-    weights = V.tfidf_from_counts(word_counts(docs), V.document_count(docs, "doc_id"), MAX_FEATURES, "doc_id")
+    weights = V.tfidf_from_counts(word_counts(docs), V.document_count(docs, "doc_id"), "doc_id")
     return weights.withColumn("value", r6("value"))
 
 

@@ -28,12 +28,23 @@ T_ = TypeVar("T_")
 # The first configuration of the reference's sweep, which the queries of a single model use.
 CONFIG = X.SWEEP[0]
 
-# Written tables and fitted models that several queries of one session read.
-_SHARED: dict[tuple[str, str, str], object] = {}
+# Written tables and fitted models that several queries of one session read, by the state of the files behind them.
+_SHARED: dict[tuple[str, str, str, int], object] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> int:
+    """Changes when a file of the tables that the models read is written anew."""
+    state = 0
+    for table in ("documents", "labels", "embeddings"):
+        files = spark.read.parquet(f"{sf}/{table}.parquet").select(
+            F.xxhash64("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).alias("h")
+        )
+        state = hash((state, tuple(sorted(r.h for r in files.distinct().collect()))))
+    return state
 
 
 def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], T_]) -> T_:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, _state(spark, sf))
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
@@ -160,7 +171,7 @@ def adaboost_grid(spark: SparkSession, sf: str) -> DataFrame:
     docs = cleaned(spark, sf)
     counts = V.token_counts(docs, "doc_id", S.vector_tokens("text"))
     words = counts.select("token").distinct().count()
-    weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), words, "doc_id")
+    weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), "doc_id")
     rows = W.pack_vectors(weights, docs.select("doc_id", "label", "split"), "doc_id", words)
     kept = materialize(D.fit_rows(rows).select("doc_id", "label", "features"), "adaboost")
     _, table = adaboost.fit_adaboost_grid(
