@@ -27,6 +27,8 @@ BUDGET = 3
 HOT_BLOCK = 4096
 # pairs of nodes walked at a time
 _FRONT = 400_000
+# pairs of values up to which two nodes are compared at once where a second test follows
+_SMALL_PAIRS = 1024
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -97,6 +99,19 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
+def _node_pairs(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of values of pairs of nodes, each once, some of the nodes at a time."""
+    wide = bhi - blo
+    sizes = (ahi - alo) * wide
+    for part in np.array_split(np.arange(len(sizes)), max(1, int(sizes.sum()) // (_FRONT // 4) + 1)):
+        total = sizes[part]
+        node = np.repeat(part, total)
+        within = np.arange(len(node)) - np.repeat(np.cumsum(total) - total, total)
+        a, b = alo[node] + within // wide[node], blo[node] + within % wide[node]
+        once = (alo[node] != blo[node]) | (a < b)
+        yield a[once], b[once]
+
+
 def trie_links(values: np.ndarray, depth: int, budget: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Component label (smallest index) of each value of sorted ``values``, which are distinct unless ``also`` is given.
 
@@ -131,6 +146,15 @@ def trie_links(values: np.ndarray, depth: int, budget: int, also: Callable[[np.n
                 a, b = a[near], b[near]
             _settle(label, a, b)
             alo, ahi, blo, bhi, diff = (x[~leaf] for x in (alo, ahi, blo, bhi, diff))
+        if also is not None:
+            # small nodes pair by pair: with a wide budget the walk would prune little below them
+            few = (ahi - alo) * (bhi - blo) <= _SMALL_PAIRS
+            for a, b in _node_pairs(alo[few], ahi[few], blo[few], bhi[few]):
+                near = np.bitwise_count(values[a] ^ values[b]) <= budget
+                a, b = a[near], b[near]
+                near = also(a, b)
+                _settle(label, a[near], b[near])
+            alo, ahi, blo, bhi, diff = (x[~few] for x in (alo, ahi, blo, bhi, diff))
         if depth == BITS and also is not None:
             # equal values at the end of the trie: a node's pairs one by one
             for a0, a1, b0, b1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), strict=True):
@@ -267,17 +291,18 @@ _BY_CHANCE = 64
 def long_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> np.ndarray:
     """SimHash of ``64 * words`` bits over different shingles: one hash each, mixed anew for every word; zero for a text
     without words."""
-    ones, total = np.zeros((words, BITS), np.int64), 0
-    every = [h for h in _shingle_hashes(text, shingle)]
-    for hashes in [np.unique(np.concatenate(every))] if every else []:
-        for at in range(0, len(hashes), 4096):
-            part = hashes[at : at + 4096]
-            for k in range(words):
-                x = part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-                ones[k] += _set_bits(x ^ (x >> np.uint64(31)))
-        total += len(hashes)
+    ones = np.zeros((words, BITS), np.int64)
+    every = list(_shingle_hashes(text, shingle))
+    hashes = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
+    total = len(hashes)
+    salt = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(words)], np.uint64)[:, None]
+    for at in range(0, total, 4096):
+        x = hashes[at : at + 4096] + salt
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(words, -1, 8), axis=2, bitorder="little")
+        ones += bits.sum(1, dtype=np.uint16)
     return np.concatenate([_majority(row, total) for row in ones])
 
 
