@@ -29,6 +29,8 @@ GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Share of a document's words that its language needs for the document to be accepted.
 LEAST_SHARE = 0.4
+# characters worked on at a time where whole rows pass through the workers
+_SLICE = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -245,7 +247,7 @@ def accepted(documents: DataFrame, model: Field, least: float = LEAST_SHARE, tex
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep = []
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, _SLICE):
                 keep += [lang != UNKNOWN and score >= least for lang, score in zip(*model.predict(texts[a:b]), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
