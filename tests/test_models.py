@@ -178,11 +178,139 @@ def test_rows_are_numbered(spark):
     assert all(r["rank"] == 999 - r.v for r in rows) and len(rows) == 1000
 
 
-def test_adaboost_learns(separable):
-    model = adaboost.fit_adaboost(part(separable, "train"), depth=1, min_leaf=2, rounds=6, rate=0.5)
-    scored = adaboost.predict_adaboost(model, part(separable, "test"))
+def plain_tree(x, y, w, rows, depth, min_leaf, out):
+    """Labels by the tree of the greatest falls of impurity, every split tried."""
+    def impurity(some):
+        a, b = (w[some & (y == c)].sum() for c in (0, 1))
+        return 2 * a * b / (a + b) if a + b > 0 else 0.0
+
+    out[rows] = w[rows & (y == 1)].sum() > w[rows & (y == 0)].sum()
+    best = (1e-12, None)
+    if depth:
+        for f in range(x.shape[1]):
+            for t in np.unique(x[rows, f])[:-1]:
+                left = rows & (x[:, f] <= t)
+                right = rows & ~left
+                if min(left.sum(), right.sum()) >= min_leaf:
+                    best = max(best, (impurity(rows) - impurity(left) - impurity(right), (f, t)), key=lambda b: b[0])
+    if best[1]:
+        left = rows & (x[:, best[1][0]] <= best[1][1])
+        for side in (left, rows & ~left):
+            plain_tree(x, y, w, side, depth - 1, min_leaf, out)
+    return out
+
+
+def sparse_rows(seed, n=60, width=5):
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((n, width)) < 0.5, 0.0, rng.integers(-3, 4, (n, width)) / 2)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] < 0) ^ (rng.random(n) < 0.2)).astype(np.int8)
+    return x, y, rng.random(n)
+
+
+def as_rows(x):
+    kept = [np.flatnonzero(r) for r in x]
+    return adaboost._Rows(np.array([len(k) for k in kept]), np.concatenate(kept), np.concatenate([r[k] for r, k in zip(x, kept)]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("depth,min_leaf", [(1, 1), (2, 5), (4, 2), (10, 1)])
+def test_adaboost_trees_equal_trying_all_splits(seed, depth, min_leaf):
+    x, y, w = sparse_rows(seed)
+    learns = np.arange(len(y)) % 4 != seed % 4
+    w = np.where(learns, w, 0) / w[learns].sum()
+    rows = as_rows(x)
+    tree, labels = adaboost._Grower(rows, y, learns, min_leaf).grow(w, depth)
+    plain = plain_tree(x, y, w, learns, depth, min_leaf, np.zeros(len(y), np.int8))
+    assert (labels[learns] == plain[learns]).all()
+    # the tree applied to any row gives what it gave while it grew
+    assert (rows.labels(tree)[learns] == labels[learns]).all()
+    for k, row in enumerate(x):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if row[tree.feature[at]] <= tree.threshold[at] else tree.right[at]
+        assert tree.label[at] == rows.labels(tree)[k]
+
+
+def plain_boost(x, y, learns, depth, min_leaf, rounds, rate):
+    """Margins of the rows after every round, by the plain algorithm; rows left out are not labelled by it."""
+    w, margin, out = np.where(learns, 1 / learns.sum(), 0.0), np.zeros(len(y)), []
+    for _ in range(rounds):
+        labels = plain_tree(x, y, w, learns, depth, min_leaf, np.zeros(len(y), np.int8))
+        error = w[learns & (labels != y)].sum()
+        if error >= 0.5:
+            break
+        alpha = rate * np.log((1 - error) / error) if error > 0 else 1.0
+        margin = margin + alpha * (2.0 * labels - 1)
+        out.append(margin)
+        if error <= 0:
+            break
+        w = w * np.where(labels != y, np.exp(alpha), 1)
+        w /= w.sum()
+    return out
+
+
+def test_adaboost_equals_the_plain_algorithm(spark):
+    x, y, _ = sparse_rows(11, n=80)
+    df = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i]) if i % 2 else Vectors.sparse(5, {int(j): float(x[i][j]) for j in np.flatnonzero(x[i])})) for i in range(80)], ["doc_id", "label", "features"]).repartition(3)
+    model = adaboost.fit_adaboost(df, "doc_id", depth=2, min_leaf=4, rounds=7, rate=0.5)
+    expected = plain_boost(x, y, np.full(80, True), 2, 4, 7, 0.5)
+    for rounds in (1, 3, 7):
+        found = {r.doc_id: r.margin for r in adaboost.predict_adaboost(model, df, rounds).collect()}
+        assert np.allclose([found[i] for i in range(80)], expected[min(rounds, len(expected)) - 1])
+
+
+def test_adaboost_grid_counts_held_out_rows(spark):
+    x, y, _ = sparse_rows(5, n=90)
+    df = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i])) for i in range(90)], ["doc_id", "label", "features"]).repartition(4)
+    model, table = adaboost.fit_adaboost_grid(df, "doc_id", (1, 3), (3,), (2, 6), (0.1, 1.0), folds=3)
+    found = {(r.depth, r.min_leaf, r.rounds, r.rate): r.accuracy for r in table.collect()}
+    assert len(found) == 8
+    order = df.select("doc_id", "label", F.xxhash64(F.lit(42), "doc_id").alias("o")).orderBy("label", "o").collect()
+    fold = np.zeros(90, int)
+    for k, r in enumerate(order):
+        fold[r.doc_id] = k % 3
+    shares = {c: [] for c in found}
+    for out in range(3):
+        part = df.join(spark.createDataFrame([(i,) for i in range(90) if fold[i] != out], "doc_id long"), "doc_id")
+        for depth, min_leaf, rate in {(c[0], c[1], c[3]) for c in found}:
+            fitted = adaboost.fit_adaboost(part, "doc_id", depth, min_leaf, 6, rate)
+            rows = as_rows(x)
+            margin, after = np.zeros(90), []
+            for tree, alpha in fitted.member_list()[0]:
+                margin = margin + alpha * (2.0 * rows.labels(tree) - 1)
+                after.append(((margin > 0) == y)[fold == out].mean())
+            for rounds in (2, 6):
+                shares[depth, min_leaf, rounds, rate].append(after[min(rounds, len(after)) - 1])
+    assert all(found[c] == pytest.approx(np.mean(shares[c])) for c in found)
+    best = max(found.values())
+    assert len(model.member_list()[0]) <= 6 and best > 0.6
+
+
+def test_adaboost_learns_in_shards_and_reloads(separable, tmp_path, monkeypatch):
+    train, test = part(separable, "train"), part(separable, "test")
+    monkeypatch.setattr(adaboost, "SHARD_ROWS", 40)
+    model = adaboost.fit_adaboost(train, "doc_id", depth=1, min_leaf=2, rounds=6, rate=0.5)
+    assert len(model.member_list()) == 3 and all(1 <= len(m) <= 6 for m in model.member_list())
+    scored = adaboost.predict_adaboost(model, test)
     assert E.scores(scored).first()["accuracy"] > 0.9
-    assert len(model.trees) == len(model.weights) <= 6
+    again = adaboost.fit_adaboost(train.repartition(5), "doc_id", depth=1, min_leaf=2, rounds=6, rate=0.5)
+    assert again.member_list() == model.member_list()
+    model.write().overwrite().save(str(tmp_path / "committee"))
+    key = lambda df: sorted((r.doc_id, r.margin, r.prediction) for r in df.select("doc_id", "margin", "prediction").collect())
+    assert key(adaboost.AdaBoostModel.load(str(tmp_path / "committee")).transform(test)) == key(scored)
+
+
+def test_adaboost_of_odd_rows(spark):
+    rows = [(1, 1, Vectors.sparse(3, {})), (1, 1, Vectors.sparse(3, {})), (2, None, Vectors.sparse(3, {0: float("nan")})), (None, 1, Vectors.dense([0, 0, 0])), (3, 1, None)]
+    schema = spark.createDataFrame([(0, 0, Vectors.sparse(3, {}))], ["doc_id", "label", "features"]).schema
+    df = spark.createDataFrame(rows, schema)
+    model = adaboost.fit_adaboost(df, "doc_id", rounds=3)
+    assert all(t.feature == [-1] and t.label == [1] for t, _ in model.member_list()[0])
+    whole = df.filter(F.col("features").isNotNull())
+    assert {r.prediction for r in adaboost.predict_adaboost(model, whole).collect()} == {1}
+    assert adaboost.predict_adaboost(model, whole.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        adaboost.fit_adaboost(df.limit(0), "doc_id")
 
 
 def test_head_learns(separable):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlens.functions import lexicon
 from wardlens.functions import scalars as S
 from wardlens.models import adaboost, boosted, head, linear, topics
 from wardlens.models import experiment as X
@@ -167,9 +168,12 @@ def saved_svm_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adaboost_grid", "M6")
 def adaboost_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Depths and leaf sizes of boosted decision trees over count-based weights, by cross-validation."""
+    """Depths, leaf sizes, rounds and rates of boosted decision trees over count-based weights, by cross-validation.
+
+    The tokens are words of two characters or more, with their accents.
+    """
     docs = cleaned(spark, sf)
-    counts = V.token_counts(docs, "doc_id", S.vector_tokens("text"))
+    counts = V.token_counts(docs, "doc_id", S.vector_tokens("text", lexicon.WORD_2, accents=False))
     words = counts.select("token").distinct().count()
     weights = V.tfidf_from_counts(counts, V.document_count(docs, "doc_id"), "doc_id")
     rows = W.pack_vectors(weights, docs.select("doc_id", "label", "split"), "doc_id", words)
