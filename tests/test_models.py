@@ -313,10 +313,51 @@ def test_adaboost_of_odd_rows(spark):
         adaboost.fit_adaboost(df.limit(0), "doc_id")
 
 
-def test_head_learns(separable):
+def test_head_learns_in_shards_and_reloads(separable, tmp_path, monkeypatch):
     rows = separable.withColumn("vec", vector_to_array("features"))
-    model = head.fit_mlp_head(part(rows, "train"), "vec", WIDTH, hidden=8)
-    assert E.scores(head.predict_mlp_head(model, part(rows, "test"), "vec")).first()["accuracy"] > 0.9
+    train, val, test = (part(rows, s) for s in ("train", "val", "test"))
+    for shard_rows in (head.SHARD_ROWS, 40):
+        monkeypatch.setattr(head, "SHARD_ROWS", shard_rows)
+        model = head.fit_mlp_head(train, "vec", WIDTH, "doc_id", hidden=16, epochs=8, rate=0.02, validation=val)
+        assert E.scores(head.predict_mlp_head(model, test)).first()["accuracy"] > 0.9
+    again = head.fit_mlp_head(train.repartition(5), "vec", WIDTH, "doc_id", hidden=16, epochs=8, rate=0.02, validation=val)
+    assert np.allclose(again.getOrDefault("weights"), model.getOrDefault("weights"), rtol=0, atol=1e-9)
+    model.write().overwrite().save(str(tmp_path / "head"))
+    key = lambda df: sorted((r.doc_id, r.score, r.prediction) for r in df.select("doc_id", "score", "prediction").collect())
+    assert key(head.HeadModel.load(str(tmp_path / "head")).transform(test)) == key(model.transform(test))
+
+
+def test_head_gradients_are_finite_differences():
+    rng = np.random.default_rng(3)
+    layers = head.start_layers(4, 5, 1)
+    x, y = rng.normal(size=(7, 4)), rng.integers(0, 2, 7)
+    inputs, units = (rng.random((7, 4)) >= 0.5) / 0.5, (rng.random((7, 5)) >= 0.3) / 0.7
+    _, slopes = head.gradients(layers, x, y, inputs, units)
+    for array, slope in zip(layers, slopes):
+        for place in np.ndindex(array.shape):
+            kept, losses = array[place], []
+            for move in (1e-6, -1e-6):
+                array[place] = kept + move
+                losses.append(head.gradients(layers, x, y, inputs, units)[0])
+            array[place] = kept
+            assert slope[place] == pytest.approx((losses[0] - losses[1]) / 2e-6, abs=1e-7)
+    # without dropout the loss is that of the scores
+    loss, _ = head.gradients(layers, x, y, 1.0, 1.0)
+    score = head.forward(layers, x)
+    assert loss == pytest.approx(-np.log(np.where(y == 1, score, 1 - score)).mean())
+
+
+def test_head_of_odd_rows(spark):
+    schema = "doc_id long, label int, vec array<double>"
+    rows = [(1, 1, [1.0, 2.0]), (1, 1, [1.0, 2.0]), (2, None, [float("nan"), float("inf")]), (None, 0, [0.0, 1.0]), (3, 1, None), (4, 1, [1.0]), (5, 0, [None, 1.0])]
+    df = spark.createDataFrame(rows, schema)
+    model = head.fit_mlp_head(df, "vec", 2, "doc_id", hidden=4, epochs=2)
+    scored = head.predict_mlp_head(model, df).collect()
+    assert len(scored) == 7 and all(0 <= r.score <= 1 for r in scored)
+    assert len({r.score for r in scored if r.doc_id in (2, 3, 4, 5)}) == 1
+    assert head.predict_mlp_head(model, df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        head.fit_mlp_head(df.limit(0), "vec", 2, "doc_id")
 
 
 def test_topics_are_shares_and_repeat(spark):

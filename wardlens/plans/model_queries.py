@@ -190,9 +190,9 @@ def mlp_head_predictions(spark: SparkSession, sf: str) -> DataFrame:
     averaged = W.average_embedding(docs, "doc_id", "text", vectors(spark, sf), K.VECTOR_WIDTH, mode="tokens")
     rows = docs.select("doc_id", "label", "split").join(averaged, "doc_id")
     rows = materialize(rows, "document-vectors")
-    model = head.fit_mlp_head(rows.filter(F.col("split") == "train"), "vec", K.VECTOR_WIDTH)
-    scored = head.predict_mlp_head(model, rows, "vec")
-    return scored.select("doc_id", "split", "label", "prediction", vector_to_array("probability")[1].alias("score"))
+    train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
+    scored = head.predict_mlp_head(head.fit_mlp_head(train, "vec", K.VECTOR_WIDTH, "doc_id", validation=val), rows)
+    return scored.select("doc_id", "split", "label", "prediction", "score")
 
 
 @query("document_vectors_through_parquet", "S8 V12")
