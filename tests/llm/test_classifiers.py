@@ -103,6 +103,18 @@ def accuracy(spark, name, column):
     return np.mean([p == t for p, t in held])
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    texts = [(k, ("good words in a line. " if k % 3 else "## 77 !! ") * (1 + k % 5)) for k in range(7000)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 3 > 0)) for k, _ in texts], "doc_id long, quality int")
+    model = quality.fit(documents, marks)
+    learned = marks.filter(~quality.held_out(marks.doc_id, 5, 0)).join(documents, "doc_id").collect()
+    x = np.array([quality.features(r["text"]) for r in learned], np.float64)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-9)
+    scores = model.score(x)
+    assert (((scores >= quality.CUT) == [r["quality"] == 1 for r in learned])).all()
+
+
 def test_quality_accuracy(spark):
     assert accuracy(spark, "op4_quality", "quality") > 0.95
 

@@ -1,24 +1,28 @@
 """Quality of documents by Bradley-Terry ranking.
 
-Labelled documents are compared in pairs of one good and one bad; a linear score is learned by logistic loss on the
-difference of their features. Its threshold is a quantile of the scores of the training documents.
+Every labelled document is compared with documents of the other label, dealt by the hash of their ids; a linear score is
+learned by logistic loss on the difference of their features. Its threshold is a quantile of the scores of all training
+documents. Sums of fixed size per task are all that reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import held_out, labelled_texts
+from wardlens.llm.shared import held_out, labelled_texts, stored
+from wardlens.operators.relations import numbered
 
-#: Labelled documents that are used at most, and pairs drawn from them.
-LABELLED = 6000
+#: Pairs at least, where there are so many; more documents make more pairs.
 PAIRS = 40_000
+#: Newton steps, and quantiles that are tried as threshold.
+STEPS, QUANTILES = 12, np.linspace(0.001, 0.999, 999)
 #: Score at the threshold.
 CUT = 0.3
 
@@ -69,47 +73,149 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x.sum(0), (x * x).sum(0)])
+
+
+def _standard(n: int, moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each feature."""
+    if not n:
+        return np.zeros(N_FEATURES), np.ones(N_FEATURES)
+    mean, square = moments.reshape(2, -1) / n
+    return mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3
+
+
+def _pair_sums(d: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Slope and curve of the loss over pairs, given by the difference of good and bad."""
+    lost = 1 / (1 + np.exp(np.clip(d @ weights, -30, 30)))
+    return np.concatenate([d.T @ lost, ((d * (lost * (1 - lost))[:, None]).T @ d).ravel()])
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], penalty: float) -> np.ndarray:
+    weights = np.zeros(N_FEATURES)
+    for _ in range(STEPS):
+        found = sums(weights)
+        slope, curve = found[: len(weights)], found[len(weights) :].reshape(len(weights), -1)
+        weights = weights + np.linalg.solve(curve + penalty * np.eye(len(weights)), slope - penalty * weights)
+    return weights
+
+
+def _places(raw: np.ndarray, label: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """Bad and good rows by how many of the tried thresholds they reach, then the sums of scores and of their squares."""
+    at = np.searchsorted(tried, raw, side="right")
+    counts = [np.bincount(at[(label == 1) == good], minlength=len(tried) + 1) for good in (False, True)]
+    return np.concatenate([*counts, [raw.sum(), (raw * raw).sum()]])
+
+
+def _threshold(tried: np.ndarray, places: np.ndarray) -> tuple[float, float]:
+    """The quantile that sets the fewest documents on the wrong side, of each label alike, and half the scores' deviation."""
+    bad, good = places[:-2].reshape(2, -1)
+    wrong = good.cumsum()[:-1] / good.sum() + 1 - bad.cumsum()[:-1] / bad.sum()
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    mean, square = places[-2:] / places[:-2].sum()
+    # of equally good ones a low one: a wrongly kept document costs less
+    return float(tried[best[len(best) // 5]]), float(np.sqrt(max(square - mean * mean, 0.0))) / 2 + 1e-9
+
+
+def _partners(many: int, few: int, pairs: int) -> int:
+    """Documents of the rarer label that each of the other label meets."""
+    return min(few, max(1, -(-pairs // many)))
+
+
+def _unlike(mean: np.ndarray, scale: np.ndarray, n_bad: int) -> Ranking:
+    """Nothing to compare: every document scores alike, on the side of the only label there is."""
+    return Ranking(mean, scale, np.zeros(N_FEATURES), 1.0 if n_bad else -1.0, 1.0)
+
+
 def fit_ranking(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, penalty: float = 20.0) -> Ranking:
-    """Bradley-Terry weights by Newton steps on pairs of a good and a bad document."""
-    x = x.astype(np.float64)
-    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+    """Bradley-Terry weights by Newton steps on pairs of a good and a bad document: what ``fit`` does, for arrays."""
+    x = x.astype(np.float64).reshape(-1, N_FEATURES)
+    mean, scale = _standard(len(x), _moments(x))
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label != 1)
-    weights = np.zeros(len(mean))
     if not len(good) or not len(bad):
-        # nothing to compare: every document scores alike, on the side of the only label there is
-        return Ranking(mean, scale, weights, 1.0 if len(bad) else -1.0, 1.0)
+        return _unlike(mean, scale, len(bad))
     z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(7)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    for _ in range(12):
-        lost = 1 / (1 + np.exp(np.clip(d @ weights, -30, 30)))
-        slope = d.T @ lost - penalty * weights
-        curve = (d * (lost * (1 - lost))[:, None]).T @ d + penalty * np.eye(len(weights))
-        weights = weights + np.linalg.solve(curve, slope)
+    many, few = (good, bad) if len(good) >= len(bad) else (bad, good)
+    k = _partners(len(many), len(few), pairs)
+    met = (np.arange(len(many))[:, None] + np.arange(k)) % len(few)
+    d = np.repeat(z[many], k, axis=0) - z[few][met.ravel()]
+    weights = _newton(lambda w: _pair_sums(d if many is good else -d, w), penalty)
     raw = z @ weights
-    # the quantile of the scores that sets the fewest documents on the wrong side, of each label alike
-    tried = np.quantile(raw, np.linspace(0.001, 0.999, 999))
-    wrong = (raw[good] < tried[:, None]).mean(1) + (raw[bad] >= tried[:, None]).mean(1)
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    threshold = float(tried[best[len(best) // 5]])  # of equally good ones a low one: a wrongly kept document costs less
-    return Ranking(mean, scale, weights, threshold, float(raw.std()) / 2 + 1e-9)
+    tried = np.quantile(raw, QUANTILES)
+    return Ranking(mean, scale, weights, *_threshold(tried, _places(raw, label, tried)))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (label, features)."""
+    """(id, label, text) -> (id, label, features)."""
     for batch in batches:
-        rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "features"])
-
-
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", *, folds: int = 5, fold: int = 0, limit: int = LABELLED) -> Ranking:
-    """Learn from at most ``limit`` labelled documents; their features, of fixed size, come to the driver."""
-    chosen = labelled_texts(documents, labels, label, folds=folds, fold=fold, limit=limit)
-    rows = chosen.select("label", "text").mapInArrow(_vectors, "label int, features binary").collect()
-    x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, N_FEATURES)
-    # rows arrive in any order; sorted, they make the same pairs on every run
-    order = np.lexsort((*x.T, [r.label for r in rows])) if rows else []
-    return fit_ranking(x[order], np.array([r.label for r in rows])[order] if rows else np.empty(0))
+        rows = [features(t.as_py()).tobytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], names=["id", "label", "features"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _summed(frame: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all batches of ``width`` numbers; a row per task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(batch)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
+
+    total = np.zeros(width)
+    for row in sorted(frame.mapInArrow(run, "part int, data binary").collect()):
+        total += np.frombuffer(row["data"])
+    return total
+
+
+def _pairs(rows: DataFrame, n: dict[int, int], mean: np.ndarray, scale: np.ndarray, pairs: int) -> DataFrame:
+    """Written differences of good and bad: every document meets one of the other label at least."""
+    good, bad = (
+        numbered(rows.filter(F.col("label") == v).select(F.xxhash64("id").alias("h"), "id", "features"), "h", "id", "features").select("rank", "features")
+        for v in (1, 0)
+    )
+    many, few = (good, bad) if n[1] >= n[0] else (bad, good)
+    k = _partners(max(n.values()), min(n.values()), pairs)
+    met = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("rank", F.pmod(F.col("rank") + F.col("j"), F.lit(min(n.values()))))
+    both = met.join(few.withColumnRenamed("features", "other"), "rank").select("features", "other")
+    sign = 1 if n[1] >= n[0] else -1
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.clip((_numbers(c) - mean) / scale, -8, 8) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in (sign * (a - b)).astype(np.float32)], pa.binary())], names=["d"])
+
+    return stored(both.mapInArrow(differences, "d binary"), "quality-pairs")
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", *, folds: int = 5, fold: int = 0, pairs: int = PAIRS, penalty: float = 20.0) -> Ranking:
+    """Learn from every labelled document outside the held-out fold."""
+    chosen = labelled_texts(documents, labels, label, folds=folds, fold=fold).select("id", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), "text")
+    kind = chosen.schema["id"].dataType.simpleString()
+    rows = stored(chosen.mapInArrow(_vectors, f"id {kind}, label int, features binary"), "quality-rows")
+    counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = {v: counted.get(v, 0) for v in (0, 1)}
+    plain = rows.select("features", "label")
+    mean, scale = _standard(sum(n.values()), _summed(plain, lambda b: _moments(_numbers(b.column(0))), 2 * N_FEATURES))
+    if not n[0] or not n[1]:
+        return _unlike(mean, scale, n[0])
+    met = _pairs(rows, n, mean, scale, pairs)
+    weights = _newton(lambda w: _summed(met, lambda b: _pair_sums(_numbers(b.column(0)), w), N_FEATURES * (N_FEATURES + 1)), penalty)
+    model = Ranking(mean, scale, weights, 0.0, 1.0)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_numbers(batch.column(0)))), batch.column(1)], names=["raw", "label"])
+
+    raw = stored(plain.mapInArrow(scored, "raw double, label int"), "quality-scores")
+    tried = np.array(raw.agg(F.percentile_approx("raw", QUANTILES.tolist(), 100_000)).first()[0])
+    places = _summed(raw, lambda b: _places(b.column(0).to_numpy(), b.column(1).to_numpy(), tried), 2 * (len(tried) + 1) + 2)
+    return Ranking(mean, scale, weights, *_threshold(tried, places))
 
 
 def score(documents: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
