@@ -82,3 +82,27 @@ def test_brand_similarity_joins_distinct_rows(spark, tmp_path):
     assert found.collect() == [("ab", "abd", 2, 80)]
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert below.count("Aggregate") == 2
+
+
+def test_a_task_sums_its_shards(spark):
+    """What an epoch moves is a set of blocks a task, not one a shard; the sum is the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wardlens.models import linear
+
+    alphas = np.array([0.01, 0.001])
+    models = linear._Models(np.zeros((3, 2)), np.zeros(2), np.zeros(2, np.int64), alphas, np.array([-1, -1]))
+    sent = type("Sent", (), {"value": models})()
+
+    def batch(*shards):
+        n = len(shards)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shards), pa.array([1.0, -1.0, 1.0, -1.0][:n]), pa.array([0] * n), pa.array([[0, 2]] * n), pa.array([[0.5, 1.0]] * n)],
+            names=["shard", "y", "fold", "indices", "values"],
+        )
+
+    run = lambda b: {r["block"]: (r["rows"], np.frombuffer(r["data"])) for out in linear._epoch(sent)([b]) for r in out.to_pylist()}
+    both, one = run(batch(0, 0, 7, 7)), run(batch(0, 0))
+    assert sorted(both) == [-1, 0] and both[0][0] == 4
+    assert np.allclose(both[0][1], 2 * one[0][1])
