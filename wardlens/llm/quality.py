@@ -113,10 +113,14 @@ def _threshold(tried: np.ndarray, places: np.ndarray) -> tuple[float, float]:
     wrong = good.cumsum()[:-1] / good.sum() + 1 - bad.cumsum()[:-1] / bad.sum()
     best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     mean, square = places[-2:] / places[:-2].sum()
-    # of equally good ones a low one: a wrongly kept document costs less
     return float(tried[best[len(best) // 5]]), float(np.sqrt(max(square - mean * mean, 0.0))) / 2 + 1e-9
 
 
+def _lowered(threshold: float, below: float | None) -> float:
+    """Any value down to the next score below sets the same rows apart; a low one, as a wrongly kept document costs less."""
+    return threshold if below is None else threshold - 0.8 * (threshold - below)
+
+
 def _partners(many: int, few: int, pairs: int) -> int:
     """Documents of the rarer label that each of the other label meets."""
     return min(few, max(1, -(-pairs // many)))
@@ -141,8 +145,9 @@ def fit_ranking(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, penalty: f
     d = np.repeat(z[many], k, axis=0) - z[few][met.ravel()]
     weights = _newton(lambda w: _pair_sums(d if many is good else -d, w), penalty)
     raw = z @ weights
-    tried = np.quantile(raw, QUANTILES)
-    return Ranking(mean, scale, weights, *_threshold(tried, _places(raw, label, tried)))
+    tried = np.quantile(raw, QUANTILES, method="higher")
+    threshold, spread = _threshold(tried, _places(raw, label, tried))
+    return Ranking(mean, scale, weights, _lowered(threshold, max(raw[raw < threshold], default=None)), spread)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +220,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", *, fold
     raw = stored(plain.mapInArrow(scored, "raw double, label int"), "quality-scores")
     tried = np.array(raw.agg(F.percentile_approx("raw", QUANTILES.tolist(), 100_000)).first()[0])
     places = _summed(raw, lambda b: _places(b.column(0).to_numpy(), b.column(1).to_numpy(), tried), 2 * (len(tried) + 1) + 2)
-    return Ranking(mean, scale, weights, *_threshold(tried, places))
+    threshold, spread = _threshold(tried, places)
+    below = raw.filter(F.col("raw") < threshold).agg(F.max("raw")).first()[0]
+    return Ranking(mean, scale, weights, _lowered(threshold, below), spread)
 
 
 def score(documents: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
