@@ -115,6 +115,22 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert (((scores >= quality.CUT) == [r["quality"] == 1 for r in learned])).all()
 
 
+def test_quality_moves_no_texts(spark):
+    documents = spark.createDataFrame([(k, f"word {k} " * (k % 7)) for k in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k % 200, k % 2) for k in range(250)], "doc_id long, quality int")
+    found = quality.labelled_features(documents, marks, "quality", folds=5, fold=0)
+    expected = {k: max(v % 2 for v in range(250) if v % 200 == k) for k in range(200) if remainder(k, 5)}
+    texts = dict(documents.collect())
+    rows = {r["id"]: (r["label"], r["features"]) for r in found.collect()}
+    assert rows == {k: (v, quality.features(texts[k]).tobytes()) for k, v in expected.items()}
+    # below the exchange a text has become its features, and the join is the one that large tables need
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    moved = [line for line in plan.splitlines() if "text" in line]
+    assert moved and not any("Exchange" in line for line in moved)
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")
+
+
 def test_quality_accuracy(spark):
     assert accuracy(spark, "op4_quality", "quality") > 0.95
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import held_out, labelled_texts, stored
+from wardlens.llm.shared import held_out, labelled_ids, stored
 from wardlens.operators.relations import numbered
 
 #: Pairs at least, where there are so many; more documents make more pairs.
@@ -151,10 +151,21 @@ def fit_ranking(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, penalty: f
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, text) -> (id, label, features)."""
+    """(id, text) -> (id, features)."""
     for batch in batches:
-        rows = [features(t.as_py()).tobytes() for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], names=["id", "label", "features"])
+        rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "features"])
+
+
+def labelled_features(documents: DataFrame, labels: DataFrame, label: str, *, folds: int, fold: int) -> DataFrame:
+    """(id, label, features) of the labelled documents outside the held-out fold.
+
+    Texts are only scanned: what meets the labels are features of fixed size, by the same join whatever the tables' sizes.
+    """
+    ids = labelled_ids(labels, label, folds=folds, fold=fold).withColumn("label", F.when(F.col("label") == 1, 1).otherwise(0))
+    texts = documents.select(F.col("doc_id").alias("id"), "text").filter(F.col("id").isNotNull() & ~held_out(F.col("id"), folds, fold))
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(_vectors, f"id {kind}, features binary").join(ids.hint("merge"), "id").select("id", "label", "features")
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
@@ -200,9 +211,7 @@ def _pairs(rows: DataFrame, n: dict[int, int], mean: np.ndarray, scale: np.ndarr
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", *, folds: int = 5, fold: int = 0, pairs: int = PAIRS, penalty: float = 20.0) -> Ranking:
     """Learn from every labelled document outside the held-out fold."""
-    chosen = labelled_texts(documents, labels, label, folds=folds, fold=fold).select("id", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), "text")
-    kind = chosen.schema["id"].dataType.simpleString()
-    rows = stored(chosen.mapInArrow(_vectors, f"id {kind}, label int, features binary"), "quality-rows")
+    rows = stored(labelled_features(documents, labels, label, folds=folds, fold=fold), "quality-rows")
     counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n = {v: counted.get(v, 0) for v in (0, 1)}
     plain = rows.select("features", "label")

@@ -40,14 +40,21 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
 
 
+def labelled_ids(labels: DataFrame, label: str, *, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of the labelled documents outside the held-out fold.
+
+    Rows without a label do not count; of several labels of a document the largest does.
+    """
+    ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).dropna()
+    return ids.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("label").alias("label"))
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, *, folds: int, fold: int, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of the labelled documents outside the held-out fold, or of at most ``limit`` of them.
 
-    With a limit the ids are chosen from the narrow label table by hash, so that the texts are only scanned. Rows without a
-    label do not count; of several labels of a document the largest does.
+    With a limit the ids are chosen from the narrow label table by hash, so that the texts are only scanned.
     """
-    ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).dropna()
-    ids = ids.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("label").alias("label"))
+    ids = labelled_ids(labels, label, folds=folds, fold=fold, id_col=id_col)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if limit is None:
         return texts.join(ids, "id")
