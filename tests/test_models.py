@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -59,6 +61,36 @@ def test_margins_are_written_anew(separable, monkeypatch, trees):
     assert [t.feature for t in again.model.tree_list()] == [t.feature for t in trees.model.tree_list()]
 
 
+def test_chunks_are_sorted_once_and_sums_hold_no_zeros(spark, monkeypatch):
+    monkeypatch.setattr(boosted, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(float(i % 2), sorted(rng.choice(40, 3, replace=False).tolist()), rng.integers(0, 4, 3).astype(float).tolist(), i, i % 5 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "y double, indices array<int>, values array<double>, id long, held boolean").coalesce(1)
+    cuts = spark.sparkContext.broadcast((np.arange(0, 42 * 3, 3), np.tile([0.0, 1.0, 2.0], 41)))
+    chunks = df.mapInArrow(boosted._to_chunks(cuts), boosted._CHUNKS).persist()
+    kept = chunks.collect()
+    assert all((np.diff(np.frombuffer(c["feature"], np.int32)) >= 0).all() for c in kept) and max(len(c["y"]) for c in kept) == 16 * 8
+    assert sum(len(c["y"]) // 8 for c in kept if c["held"]) == 40 and sum(len(c["y"]) // 8 for c in kept) == 200
+    starts = np.arange(0, 41 * 4, 4)
+    tree = boosted.Tree()
+    tree.leaf(0.0)
+    plan = boosted._Plan(starts, np.append(np.arange(40) % 4 > 0, False), [], tree, {0: (0.0, 0.0)}, 9)
+    sums = chunks.filter("not held").mapInArrow(boosted._histograms(spark.sparkContext.broadcast(plan)), boosted._SUMS).collect()
+    found = np.zeros((2, 160))
+    for r in sums:
+        at, data = np.frombuffer(r["at"], np.int32), np.frombuffer(r["data"]).reshape(2, -1)
+        assert data.shape[1] == len(at) and (data != 0).any(axis=0).all()
+        found[:, at] += data
+    expected = np.zeros((2, 160))
+    drawn = boosted._mixed(np.arange(200), 9) < boosted.ROW_SHARE
+    for y, indices, values, i, held in rows:
+        for f, v in zip(indices, values):
+            if not held and drawn[i] and f % 4:
+                expected[:, f * 4 + int(v)] += 0.5 - y, 0.25
+    assert np.allclose(found, expected)
+    chunks.unpersist()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_split_equals_trying_all(seed):
     rng = np.random.default_rng(seed)
@@ -384,6 +416,23 @@ def test_experiment_and_sweep(spark):
     assert E.best_config(table, X.METRICS).first()["config"] == 0
 
 
+def test_independent_fits_go_side_by_side(spark, monkeypatch):
+    # each waits for the other, so that one after the other would never end
+    both = threading.Barrier(2, timeout=20)
+    fit, grid = boosted.fit_boosted, linear.fit_svm_grid
+    monkeypatch.setattr(boosted, "fit_boosted", lambda *a, **k: (both.wait(), fit(*a, **k))[1])
+    monkeypatch.setattr(linear, "fit_svm_grid", lambda *a, **k: (both.wait(), grid(*a, **k))[1])
+    rows = [(i, f"{('heart edema', 'knee cast')[i % 2]} w{i % 7}", i % 2, ("train", "train", "val", "test")[i // 2 % 4]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, split string")
+    config = X.Config(max_features=20, topics=2, rounds=1, topic_passes=1, topic_batches=2, alphas=(0.001,), svm_iterations=2)
+    alone = X.run_experiment(docs, ["heart"], config)
+    assert set(alone) == set(X.METRICS)
+    runs = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(X, "run_experiment", lambda docs, terms, config, *_: (runs.wait(), dict.fromkeys(X.METRICS, float(config.topics)))[1])
+    table = X.sweep(docs, ["heart"], [X.Config(topics=3), X.Config(topics=4)])
+    assert [(r["config"], r["topics"], r["svm_f1"]) for r in sorted(table.collect())] == [(0, 3, 3.0), (1, 4, 4.0)]
+
+
 def test_a_document_in_pieces_is_one_row_of_the_matrix(spark):
     whole = [(i, "heart knee lung " * 2 + f"w{i % 3}", i % 2, "train") for i in range(10)]
     cut = [(i, part, label, split) for i, text, label, split in whole for part in (text[:16], text[16:])]
