@@ -332,6 +332,51 @@ def test_adaboost_learns_in_shards_and_reloads(separable, tmp_path, monkeypatch)
     assert key(adaboost.AdaBoostModel.load(str(tmp_path / "committee")).transform(test)) == key(scored)
 
 
+@pytest.mark.parametrize("seed,rate", [(1, 0.01), (2, 0.1), (3, 0.5)])
+def test_adaboost_rounds_that_remember_equal_rounds_that_do_not(seed, rate, monkeypatch):
+    for name, value in (("SMALL", 4), ("FIRST", 1), ("BLOCKS", 8), ("KEPT_TURNS", 2)):
+        monkeypatch.setattr(adaboost, name, value)
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((150, 40)) < 0.4, rng.normal(size=(150, 40)).round(1), 0.0)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.7, 150)) > 0.2).astype(np.int8)
+    learns, rows = np.arange(150) % 5 != 0, as_rows(x)
+    grower, read = adaboost._Grower(rows, y, learns, 3), []
+    bounds = adaboost._Layout.bounds
+    monkeypatch.setattr(adaboost._Layout, "bounds", lambda *args: read.append(1) or bounds(*args))
+    found = list(adaboost._boost(rows, grower, y, 4, 30, rate))
+    often = len(read)
+    w, expected = np.where(learns, 1 / learns.sum(), 0.0), plain_boost(x, y, learns, 4, 3, 30, rate)
+    assert len(found) == len(expected)
+    margin = np.zeros(150)
+    read.clear()
+    for (tree, alpha), plain in zip(found, expected):
+        assert grower.grow(w, 4)[0] == tree
+        margin = margin + alpha * (2.0 * rows.labels(tree) - 1)
+        assert np.allclose(margin[learns], plain[learns])
+        missed = learns & (rows.labels(tree) != y)
+        w = w * np.where(missed, np.exp(alpha), 1)
+        w /= w.sum()
+    assert often < len(read)
+
+
+def test_adaboost_bounds_hold_and_a_task_has_one_fit(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((200, 12)) < 0.5, rng.normal(size=(200, 12)), 0.0)
+    y, w = rng.integers(0, 2, 200), rng.random(200)
+    grower = adaboost._Grower(as_rows(x), y, np.full(200, True), 2)
+    for rows in (np.arange(200), np.arange(0, 200, 3)):
+        node = adaboost._Node(rows, grower.all)
+        one, zero = w * y, w * (1 - y)
+        bounds = grower.all.bounds(rows, 200, zero, one)
+        level, sides = grower._level(node), grower.all.side.tolist()
+        total = one[rows].sum(), zero[rows].sum()
+        for place, gain in zip(level.first, level.gains(zero, one, total[1], total[0])):
+            assert gain * adaboost.LEAST_GAIN <= bounds[sides.index(level.side[place])] * sum(total)
+    df = spark.range(60).select(F.col("id"), (F.col("id") % 12).cast("int").alias("task"))
+    run = lambda table: table.group_by("task").aggregate([("id", "count")]).rename_columns(["task", "n"]).append_column("k", [[len(set(table["task"].to_pylist()))]])
+    assert [tuple(r) for r in adaboost._by_task(df, 13, "task", run, "task int, n long, k long").collect()] == [(k, 5, 1) for k in range(12)]
+
+
 def test_adaboost_of_odd_rows(spark):
     rows = [(1, 1, Vectors.sparse(3, {})), (1, 1, Vectors.sparse(3, {})), (2, None, Vectors.sparse(3, {0: float("nan")})), (None, 1, Vectors.dense([0, 0, 0])), (3, 1, None)]
     schema = spark.createDataFrame([(0, 0, Vectors.sparse(3, {}))], ["doc_id", "label", "features"]).schema
