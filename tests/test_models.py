@@ -332,6 +332,18 @@ def test_adaboost_learns_in_shards_and_reloads(separable, tmp_path, monkeypatch)
     assert key(adaboost.AdaBoostModel.load(str(tmp_path / "committee")).transform(test)) == key(scored)
 
 
+def test_adaboost_learns_from_all_rows_together_whatever_their_number(spark):
+    n = 17_000
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (n, 2)).astype(float)
+    y = ((x[:, 0] + 0.3 * x[:, 1] + rng.normal(0, 1, n)) > 0).astype(np.int8)
+    df = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i])) for i in range(n)], ["doc_id", "label", "features"]).repartition(4)
+    model = adaboost.fit_adaboost(df, "doc_id", depth=2, min_leaf=4, rounds=3, rate=0.5)
+    assert len(model.member_list()) == 1
+    found = {r.doc_id: r.margin for r in adaboost.predict_adaboost(model, df).collect()}
+    assert np.allclose([found[i] for i in range(n)], plain_boost(x, y, np.full(n, True), 2, 4, 3, 0.5)[-1])
+
+
 @pytest.mark.parametrize("seed,rate", [(1, 0.01), (2, 0.1), (3, 0.5)])
 def test_adaboost_rounds_that_remember_equal_rounds_that_do_not(seed, rate, monkeypatch):
     for name, value in (("SMALL", 4), ("FIRST", 1), ("BLOCKS", 8), ("KEPT_TURNS", 2)):
