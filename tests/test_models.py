@@ -91,6 +91,39 @@ def test_chunks_are_sorted_once_and_sums_hold_no_zeros(spark, monkeypatch):
     chunks.unpersist()
 
 
+def test_boosting_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(boosted, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (240, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 1, 240) > 2).astype(int)
+    # every feature comes twice, so that each split is one of two equal ones
+    rows = [(i, int(y[i]), Vectors.dense([*x[i], *x[i]])) for i in range(240)]
+    df = spark.createDataFrame(rows, ["doc_id", "label", "features"])
+    sizes, grow = [], boosted._grow
+
+    def counted(chunks, *args):
+        sizes.append([r["n"] for r in chunks.groupBy(F.spark_partition_id()).agg(F.sum(F.length("y") / 8).alias("n")).collect()])
+        return grow(chunks, *args)
+
+    monkeypatch.setattr(boosted, "_grow", counted)
+    found = [boosted.fit_boosted(part, part, eta=0.3, patience=9, rounds=4, depth=3, key="doc_id") for part in (df.coalesce(1), df.repartition(3), df.repartition(40))]
+    assert all(f.model.tree_list() == found[0].model.tree_list() and f.val_auc == found[0].val_auc for f in found)
+    cores = spark.sparkContext.defaultParallelism
+    assert all(len(s) == cores and max(s) <= 2 * 240 / cores for s in sizes)
+
+
+def test_trees_beyond_the_stop_are_dropped(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 2, Vectors.dense(rng.normal(size=3))) for i in range(80)], ["doc_id", "label", "features"])
+    scores = iter([0.6, 0.9, 0.8, 0.7, 0.6, 0.99, 0.99])
+    monkeypatch.setattr(boosted.BinaryClassificationEvaluator, "evaluate", lambda self, df: next(scores))
+    found = boosted.fit_boosted(df, df, patience=2, rounds=7, depth=1, key="doc_id")
+    assert found.val_auc == [0.6, 0.9, 0.8, 0.7] and found.best_round == 2 and len(found.model.tree_list()) == 4
+    scores = iter([0.6, 0.9, 0.8, 0.9])
+    found = boosted.fit_boosted(df, df, patience=2, rounds=3, depth=1, key="doc_id", keep="best")
+    assert found.val_auc == [0.6, 0.9, 0.8] and len(found.model.tree_list()) == 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_split_equals_trying_all(seed):
     rng = np.random.default_rng(seed)
