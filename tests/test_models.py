@@ -237,6 +237,31 @@ def test_svm_grid_stops_learns_and_reloads(separable, tmp_path, monkeypatch):
     assert key(scored) == key(loaded)
 
 
+def test_svm_shards_and_models_are_dealt_evenly(separable, spark, monkeypatch):
+    train = separable.filter(F.col("split") != "test")
+    cores = spark.sparkContext.defaultParallelism
+    averaged, dealt = linear._averaged, []
+
+    def counted(packed, *args):
+        if not dealt or dealt[-1][0] is not packed:
+            dealt.append((packed, [r["n"] for r in packed.groupBy(F.spark_partition_id()).agg(F.count_distinct("shard").alias("n")).collect()]))
+        return averaged(packed, *args)
+
+    monkeypatch.setattr(linear, "_averaged", counted)
+    monkeypatch.setattr(linear, "LEAST_MODELS", 1, raising=False)
+    monkeypatch.setattr(linear, "SHARD_ROWS", 200 // (2 * cores))
+    linear.fit_svm_grid(train, "doc_id", (0.001, 0.01), folds=3, max_iter=2)
+    # of the more shards than tasks, none gets two more than another
+    assert len(dealt[0][1]) == 2 * cores and max(dealt[0][1]) - min(dealt[0][1]) <= 1
+    monkeypatch.setattr(linear, "SHARD_ROWS", 200)
+    several = linear.fit_svm_grid(train, "doc_id", (0.001, 0.01), folds=3, max_iter=9)
+    monkeypatch.setattr(linear, "LEAST_MODELS", 100)
+    alone = linear.fit_svm_grid(train, "doc_id", (0.001, 0.01), folds=3, max_iter=9)
+    assert [len(d[1]) for d in dealt[1:]] == [min(cores, 8), 1]
+    assert several.accuracies == alone.accuracies and several.epochs == alone.epochs
+    assert np.allclose(several.model.getOrDefault("coefficients"), alone.model.getOrDefault("coefficients"))
+
+
 def test_rows_are_numbered(spark):
     df = spark.createDataFrame([(k * 7919 % 1000, k) for k in range(1000)], "v long, k long").repartition(6)
     rows = numbered(df, F.desc("v")).collect()
