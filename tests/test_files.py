@@ -1,5 +1,6 @@
 import csv
 import gzip
+import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +50,35 @@ def test_vectors_and_terms(spark, tmp_path):
     assert files.load_word_vectors(spark, f"{tmp_path}/w").first()["vec"] == [1.0, 2.0]
     terms = files.load_terms(spark.createDataFrame([("heart",)], "term string"))
     assert tuple(terms.first()) == ("heart", "HP_heart")
+
+
+def test_cohort_extracts_are_written_in_one_pass(spark, tmp_path):
+    texts = ['a "quoted" word, a comma', "two\nlines", "", None, "plain " * 500]
+    notes = spark.createDataFrame([(i, i + 10, i + 100, texts[i % 5]) for i in range(40)], "subject_id long, hadm_id long, row_id long, clean_text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def met(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    # what both cohorts join moves once
+    moved = notes.mapInArrow(met, notes.schema)
+    sides = [spark.createDataFrame([(i,) for i in range(40) if (i % 3 == 0) == side], "subject_id long") for side in (True, False)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        positive, negative = (moved.join(side, "subject_id").select(notes.columns) for side in sides)
+        paths = files.write_cohort_csv(positive, negative, str(tmp_path / "cohort"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert reads.value == 40
+    assert all(f.endswith(".csv.gz") for p in paths for f in os.listdir(p) if f.startswith("part-"))
+    found = sorted(files.read_cohort_csv(spark, *paths).collect())
+    plain = str(tmp_path / "plain")
+    files.write_csv(notes, plain)
+    expected = files.read_csv_table(spark, plain, files.COHORT_NOTES).withColumn("label", (F.col("subject_id") % 3 == 0).cast("int"))
+    assert found == sorted(expected.collect()) and len(found) == 40
+    paths = files.write_cohort_csv(notes.limit(0), negative, str(tmp_path / "one"))
+    assert {r["label"] for r in files.read_cohort_csv(spark, *paths).collect()} == {0}
+    assert files.read_cohort_csv(spark, *files.write_cohort_csv(notes.limit(0), notes.limit(0), str(tmp_path / "none"))).count() == 0

@@ -284,9 +284,9 @@ def cohort_through_csv(spark: SparkSession, sf: str) -> DataFrame:
     t = load_tables(spark, sf)
     path = scratch_path(spark, "cohort-csv")
     columns = ["subject_id", "hadm_id", "row_id", "clean_text"]
-    files.write_csv(C.positive_notes(t, PREFIX, with_list=False).select(*columns), f"{path}/positive")
-    files.write_csv(C.negative_notes(t, PREFIX, limit=None, with_list=False).select(*columns), f"{path}/negative")
-    return files.read_cohort_csv(spark, f"{path}/positive", f"{path}/negative")
+    positive = C.positive_notes(t, PREFIX, with_list=False).select(*columns)
+    negative = C.negative_notes(t, PREFIX, limit=None, with_list=False).select(*columns)
+    return files.read_cohort_csv(spark, *files.write_cohort_csv(positive, negative, path))
 
 
 SPLIT_ROWS_SQL = f"""

@@ -61,6 +61,23 @@ def read_cohort_csv(spark: SparkSession, positive: str, negative: str) -> DataFr
     )
 
 
+def write_cohort_csv(positive: DataFrame, negative: DataFrame, path: str) -> tuple[str, str]:
+    """The two cohort extracts as gzip CSV folders, written in one pass; returns their paths.
+
+    In one plan the notes that both cohorts join are shuffled once and not once for each.
+    """
+    from wardlens.operators.relations import union_cohorts, with_label
+
+    both = union_cohorts(with_label(positive, 1), with_label(negative, 0))
+    options = {"header": True, "quote": '"', "escape": '"', "compression": "gzip"}
+    paths = tuple(f"{path}/label={label}" for label in (1, 0))
+    for extract in paths:
+        # a cohort without notes is a header
+        both.drop("label").limit(0).write.mode("overwrite").options(**options).csv(extract)
+    both.write.mode("append").options(**options).partitionBy("label").csv(path)
+    return paths
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     """One Parquet dataset, a folder per split, so that reading one split prunes the others."""
     df.write.mode("overwrite").partitionBy(split).parquet(path)
