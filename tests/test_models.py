@@ -591,6 +591,29 @@ def test_registered_queries_use_the_reference_settings(monkeypatch):
     assert seen["sweep"][0][1:3] == seen["sweep_and_rerun"][0][1:3] == (X.SWEEP, "vectors")
 
 
+def test_topics_are_fitted_without_the_rest_of_the_matrix(spark, monkeypatch):
+    from wardlens.plans import model_queries as Q
+
+    rows = [(i, ["heart valve heart pump", "knee joint bone knee"][i % 2] + f" word{i % 7}", i % 2, ("train", "val", "test")[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, split string")
+    config = X.Config(max_features=8, topics=2, topic_passes=1, topic_batches=2)
+    whole = X.build_matrix(docs, ["heart"], config)
+    alone = X.fit_topic_model(docs, config)
+    assert alone.counter.vocabulary == whole.topic_model.counter.vocabulary and alone.k == 2
+    assert alone.lda.topicsMatrix().toArray().shape == whole.topic_model.lda.topicsMatrix().toArray().shape
+    again = X.build_matrix(docs, ["heart"], config, topic_model=alone)
+    assert again.topic_model is alone and again.names == whole.names
+    # a query of the topics builds no matrix
+    monkeypatch.setattr(Q, "_SHARED", {})
+    monkeypatch.setattr(Q, "_state", lambda spark, sf: 0)
+    monkeypatch.setattr(Q, "cleaned", lambda spark, sf: docs)
+    monkeypatch.setattr(Q, "CONFIG", config)
+    monkeypatch.setattr(X, "build_matrix", None)
+    monkeypatch.setattr(Q, "vectors", None)
+    assert Q.topic_features(spark, "").count() == 30 * 2
+    assert {r["topic"] for r in Q.topic_words(spark, "").collect()} == {"LDA_0", "LDA_1"}
+
+
 def test_registered_adaboost_grid_is_whole(spark, monkeypatch):
     from wardlens.plans import model_queries as Q
 

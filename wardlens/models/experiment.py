@@ -60,30 +60,42 @@ class Matrix:
     topic_model: topics.TopicModel
 
 
+def _word_block(docs: DataFrame, together: DataFrame, config: Config, key: str) -> W.Block:
+    """The weighted words of written documents, and the vocabulary that they share with the topics."""
+    # what is folded by document reads its pieces side by side, so that tokens are not shuffled
+    counts = V.token_counts(together, [key, "split"], S.vector_tokens("text"))
+    fitted = (D.fit_rows(df, config.fit_splits) for df in (docs, counts))
+    return W.word_block(docs, next(fitted), counts, next(fitted), key, config.max_features)
+
+
+def _fit_topics(docs: DataFrame, words: Sequence[str], config: Config) -> topics.TopicModel:
+    return topics.fit_topics(
+        D.fit_rows(docs, config.fit_splits), S.vector_tokens("text"), words, config.topics, config.topic_passes, config.topic_batches
+    )
+
+
+def fit_topic_model(docs: DataFrame, config: Config, key: str = "doc_id") -> topics.TopicModel:
+    """The topic model of the matrix of ``docs``, without the blocks that it does not read."""
+    docs = materialize(docs.select(key, "text", "label", "split"), "documents")
+    return _fit_topics(docs, _word_block(docs, keyed(docs, key), config, key).names, config)
+
+
 def build_matrix(
-    docs: DataFrame, terms: Sequence[str], config: Config, vectors: DataFrame | None = None, d: int = 100, key: str = "doc_id"
+    docs: DataFrame, terms: Sequence[str], config: Config, vectors: DataFrame | None = None, d: int = 100, key: str = "doc_id",
+    topic_model: topics.TopicModel | None = None,
 ) -> Matrix:
     """Word weights, term hits, topic weights and averaged word vectors, scaled, as one vector per document.
 
-    ``docs`` has (key, text, label, split) with cleaned text, a document cut in pieces on several rows.
+    ``docs`` has (key, text, label, split) with cleaned text, a document cut in pieces on several rows. ``topic_model`` is
+    that of ``fit_topic_model`` on the same documents, where it is there already.
     """
     docs = materialize(docs.select(key, "text", "label", "split"), "documents")
-    fit_docs = D.fit_rows(docs, config.fit_splits)
-    tokens = S.vector_tokens("text")
-    # what is folded by document reads its pieces side by side, so that tokens are not shuffled
     together = keyed(docs, key)
-    counts = V.token_counts(together, [key, "split"], tokens)
-    fit_counts = D.fit_rows(counts, config.fit_splits)
-    blocks = [
-        W.word_block(docs, fit_docs, counts, fit_counts, key, config.max_features),
-        W.term_block(together, key, "text", terms),
-    ]
-    words = blocks[0].names
-
-    model = topics.fit_topics(
-        fit_docs, tokens, words, config.topics, config.topic_passes, config.topic_batches
-    )
-    blocks.append(W.vector_block(topics.topic_weights(model, docs, key, tokens), key, config.topics, "LDA_"))
+    blocks = [_word_block(docs, together, config, key), W.term_block(together, key, "text", terms)]
+
+    model = topic_model or _fit_topics(docs, blocks[0].names, config)
+    weights = topics.topic_weights(model, docs, key, S.vector_tokens("text"))
+    blocks.append(W.vector_block(weights, key, config.topics, "LDA_"))
     if vectors is not None:
         averaged = W.average_embedding(together, key, "text", vectors, d)
         blocks.append(W.vector_block(averaged, key, d, "w2v_"))

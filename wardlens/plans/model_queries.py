@@ -71,12 +71,15 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def matrix(spark: SparkSession, sf: str) -> X.Matrix:
     return shared(
         spark, sf, "matrix",
-        lambda: X.build_matrix(cleaned(spark, sf), K.TERMS, CONFIG, vectors(spark, sf), K.VECTOR_WIDTH),
+        lambda: X.build_matrix(
+            cleaned(spark, sf), K.TERMS, CONFIG, vectors(spark, sf), K.VECTOR_WIDTH, topic_model=topic_model(spark, sf)
+        ),
     )
 
 
 def topic_model(spark: SparkSession, sf: str) -> topics.TopicModel:
-    return matrix(spark, sf).topic_model
+    """The matrix's topics; whoever needs them alone does not wait for its other blocks."""
+    return shared(spark, sf, "topics", lambda: X.fit_topic_model(cleaned(spark, sf), CONFIG))
 
 
 @query("topic_words", "M1 M2 L6")
