@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_text import lcs
@@ -174,3 +175,31 @@ def test_outlier_bounds_are_inclusive(spark):
 def test_histogram_bins(spark):
     df = spark.createDataFrame([(v,) for v in [3, 4, 12, 13, 14, 33]], "x int")
     assert {r["bin"]: (r["low"], r["n"]) for r in G.histogram(df, "x", 10).collect()} == {0: (3, 3), 1: (13, 2), 3: (33, 1)}
+
+
+def test_average_by_arrays_equals_average_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    table = spark.createDataFrame([(w, [float(x) for x in rng.normal(size=4)]) for w in words], "token string, vec array<float>")
+    texts = [" ".join(rng.choice([*words, "unknown", "other"], rng.integers(1, 90))) for _ in range(60)]
+    rows = [(i % 50, t) for i, t in enumerate(texts)] + [(60, None), (61, ""), (62, "unknown only"), (None, "w1 w2"), (None, "w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    summed = []
+    monkeypatch.setattr(W, "SUMMED_TOKENS", 7, raising=False)
+    by_arrays = getattr(W, "_text_sums", None)
+    monkeypatch.setattr(W, "_text_sums", lambda *args: summed.append(1) or by_arrays(*args), raising=False)
+    for mode in ("padded", "tokens"):
+        for cap in (4000, 20):
+            found = []
+            for most in (10**6, 0):
+                monkeypatch.setattr(W, "MOST_ARRAY_NUMBERS", most, raising=False)
+                rows = W.average_embedding(df, "doc_id", "text", table, 4, cap, mode).collect()
+                found.append(sorted((r.doc_id is None, r.doc_id or 0, r.vec) for r in rows))
+            assert [x[:2] for x in found[0]] == [x[:2] for x in found[1]] and len(found[0]) == 54
+            assert np.allclose([x[2] for x in found[0]], [x[2] for x in found[1]], rtol=0, atol=1e-12)
+    assert len(summed) == 4
+    # a vector that is not whole, or a word that comes twice, is left to the join
+    monkeypatch.setattr(W, "MOST_ARRAY_NUMBERS", 10**6, raising=False)
+    for odd in ([("w1", [1.0, None, 1.0, 1.0])], [("w1", [1.0] * 4), ("w1", [2.0] * 4)]):
+        W.average_embedding(df, "doc_id", "text", spark.createDataFrame(odd, "token string, vec array<float>"), 4, 20).collect()
+    assert len(summed) == 4
